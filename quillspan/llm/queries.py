@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm.media import media_columns
+from quillspan.llm.mixing import mix_sources
+from quillspan.llm.packing import pack_documents
 from quillspan.llm.repetition import repetition_rules
+from quillspan.llm.tokencount import token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +21,24 @@ def op3_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"), media=False).withColumn("feature", F.lower(F.hex("phash"))).drop("phash")
 
 
+def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_suffix_repetition, op9_png_media)}
+    return {f.__name__: f for f in (op3_suffix_repetition, op6_sum_of_squares_packing, op8_token_counts, op9_png_media, op10_pareto_mix)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,6 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.llm.chat import CHAT_SQL, format_chats
+from quillspan.llm.langid import identify_languages
+from quillspan.llm.licenses import scan_licenses, scan_sql
 from quillspan.llm.media import media_columns
 from quillspan.llm.mixing import mix_sources
 from quillspan.llm.packing import pack_documents
@@ -21,10 +24,22 @@ def op3_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op5_maximal_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -38,8 +53,8 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_suffix_repetition, op6_sum_of_squares_packing, op8_token_counts, op9_png_media, op10_pareto_mix)}
+    return {f.__name__: f for f in (op3_suffix_repetition, op4_license_dice, op5_maximal_chats, op6_sum_of_squares_packing, op7_hyperdimensional_language, op8_token_counts, op9_png_media, op10_pareto_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_license_dice": scan_sql(), "op5_maximal_chats": CHAT_SQL}

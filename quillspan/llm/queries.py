@@ -10,6 +10,7 @@ from quillspan.llm.chat import CHAT_SQL, format_chats
 from quillspan.llm.langid import identify_languages
 from quillspan.llm.licenses import scan_licenses, scan_sql
 from quillspan.llm.media import media_columns
+from quillspan.llm.minhash import near_duplicates
 from quillspan.llm.mixing import mix_sources
 from quillspan.llm.packing import pack_documents
 from quillspan.llm.repetition import repetition_rules
@@ -20,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_minhash_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op3_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_suffix_repetition, op4_license_dice, op5_maximal_chats, op6_sum_of_squares_packing, op7_hyperdimensional_language, op8_token_counts, op9_png_media, op10_pareto_mix)}
+    return {f.__name__: f for f in (op2_minhash_coordinates, op3_suffix_repetition, op4_license_dice, op5_maximal_chats, op6_sum_of_squares_packing, op7_hyperdimensional_language, op8_token_counts, op9_png_media, op10_pareto_mix)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,12 +15,17 @@ from quillspan.llm.mixing import mix_sources
 from quillspan.llm.packing import pack_documents
 from quillspan.llm.repetition import repetition_rules
 from quillspan.llm.tokencount import token_counts
+from quillspan.llm.toxicity import classify_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_minhash_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -58,7 +63,7 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_minhash_coordinates, op3_suffix_repetition, op4_license_dice, op5_maximal_chats, op6_sum_of_squares_packing, op7_hyperdimensional_language, op8_token_counts, op9_png_media, op10_pareto_mix)}
+    return {f.__name__: f for f in (op1_toxicity_chain, op2_minhash_coordinates, op3_suffix_repetition, op4_license_dice, op5_maximal_chats, op6_sum_of_squares_packing, op7_hyperdimensional_language, op8_token_counts, op9_png_media, op10_pareto_mix)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,8 +18,10 @@ from quillspan.llm.scratch import cut, short_batches
 COORDINATES = 64
 #: At most so many coordinate values are called frequent: those that every 1 / FREQUENT of all postings or more hold.
 FREQUENT = 100_000
-#: Postings of one value up to which its documents are compared pair by pair; more are compared in blocks.
-SHORT_LIST, BLOCK = 128, 512
+#: Postings of one value up to which its documents are compared pair by pair; more are compared in blocks of so many shingles.
+SHORT_LIST, BLOCK = 128, 1 << 21
+#: Documents of families up to which the table of them, some 40 bytes each, is broadcast.
+FEW = 200_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -79,13 +81,15 @@ def signature(hashes: np.ndarray, permutations: tuple[np.ndarray, np.ndarray]) -
 def _features(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
     permutations = _permutations(seed)
     for batch in batches:
-        n, prints, signs = [], [], []
+        n, prints, signs, folds = [], [], [], []
         for text in batch.column(1):
             h = shingle_hashes(text.as_py(), width)
             n.append(len(h))
             prints.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-            signs.append(signature(h, permutations).tobytes() if len(h) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "print", "sign"])
+            sign = signature(h, permutations) if len(h) else None
+            signs.append(sign.tobytes() if len(h) else None)
+            folds.append(_mixed(sign).astype(np.uint8).tobytes() if len(h) else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(signs, pa.binary()), pa.array(folds, pa.binary())], ["doc_id", "n_shingles", "print", "sign", "fold"])
 
 
 def _values(signs: pa.Array) -> np.ndarray:
@@ -151,7 +155,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     Texts with one set become one class. Each class posts its signature's values under their coordinates, but only the
     prefix in the order of frequency that classes with enough equal coordinates must share, so that very frequent values
     are skipped. Pairs from short lists whose signatures agree often enough, and all of a long list, join families; in a
-    family every pair is decided on full sets, by blocks of 512, and each block gives no more links than documents.
+    family every pair is decided on full sets, by blocks of two million shingles, and each block gives no more links than documents.
 
     A null text, or one without words, is linked with nothing; neither is a row with null id, whose component is null
     and which is kept. Rows with one id count as one document. An empty table gives an empty table. Other columns are
@@ -161,9 +165,9 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     short_batches(spark)
     matches = least_matches(percent)
     texts = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    features = cut(texts.mapInArrow(lambda it: _features(it, width, seed), "doc_id bigint, n_shingles bigint, print binary, sign binary"), "features")
-    classes = features.where("print is not null and doc_id is not null").groupBy("print").agg(F.min(F.struct("doc_id", "n_shingles", "sign")).alias("c"))
-    classes = cut(classes.select("print", F.col("c.doc_id").alias("doc"), F.col("c.n_shingles").alias("n"), F.col("c.sign").alias("sign")), "classes")
+    features = cut(texts.mapInArrow(lambda it: _features(it, width, seed), "doc_id bigint, n_shingles bigint, print binary, sign binary, fold binary"), "features")
+    classes = features.where("print is not null and doc_id is not null").groupBy("print").agg(F.min(F.struct("doc_id", "n_shingles", "sign", "fold")).alias("c"))
+    classes = cut(classes.select("print", F.col("c.doc_id").alias("doc"), F.col("c.n_shingles").alias("n"), F.col("c.sign").alias("sign"), F.col("c.fold").alias("fold")), "classes")
 
     least = max(2, -(-classes.count() * COORDINATES // FREQUENT))
     found = classes.select("sign").mapInArrow(_all_values, "value bigint").groupBy("value").count().where(F.col("count") >= least).toPandas().sort_values("value")
@@ -175,18 +179,17 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     short = cut(short, "short")
     fits = f"x.doc < y.doc and 100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n"
     pairs = short.alias("x").join(short.alias("y"), F.expr(f"x.value = y.value and {fits}")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-    signs = classes.select("doc", "sign")
-    both = cut(pairs, "pairs").join(signs.select(F.col("doc").alias("a"), F.col("sign").alias("sign_a")), "a").join(signs.select(F.col("doc").alias("b"), F.col("sign").alias("sign_b")), "b")
+    folds = classes.select("doc", "fold")
+    both = cut(pairs, "pairs").join(folds.select(F.col("doc").alias("a"), F.col("fold").alias("fold_a")), "a").join(folds.select(F.col("doc").alias("b"), F.col("fold").alias("fold_b")), "b")
     alike = both.mapInArrow(lambda it: _agreeing(it, matches), "a bigint, b bigint")
-    families = cut(connected_components(alike.unionByName(long)), "families")
+    families = cut(connected_components(alike.unionByName(long)).join(classes.select(F.col("doc").alias("node"), "n"), "node"), "families")
 
-    sizes = cut(families.groupBy("root").agg(F.count("*").alias("size")), "sizes")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    placed = families.join(sizes, "root").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    placed = placed.select(F.col("node").alias("doc_id"), F.col("root").alias("family"), "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = cut(placed.select("doc_id", "family", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")), "placed")
-    sets = texts.join(placed.select("doc_id").distinct(), "doc_id").mapInArrow(lambda it: _sets(it, width), "doc_id bigint, hashes binary")
-    joined = placed.join(cut(sets.distinct(), "sets"), "doc_id")
+    sizes = families.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    placed = families.join(cut(sizes, "sizes"), "root").select(F.col("node").alias("doc_id"), F.col("root").alias("family"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")).distinct()
+    placed = cut(placed, "placed")
+    sets = texts.join(F.broadcast(placed) if placed.count() <= FEW else placed, "doc_id").select("doc_id", "text", "family", "block", "blocks")
+    sets = sets.mapInArrow(lambda it: _sets(it, width), "doc_id bigint, hashes binary, family bigint, block bigint, blocks bigint")
+    joined = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other")
 
     def decide(rows: pd.DataFrame) -> pd.DataFrame:
         docs, block = rows["doc_id"].to_numpy(), rows["block"].to_numpy()
@@ -204,11 +207,12 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
 
 def _agreeing(batches: Iterator[pa.RecordBatch], matches: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, COORDINATES) for i in (2, 3))
+        # 8 bits of each value, which others share now and then; full sets are compared later
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, COORDINATES) for i in (2, 3))
         alike = pa.array((x == y).sum(1) >= matches)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(alike), batch.column(1).filter(alike)], ["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary())], ["doc_id", "hashes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary()), *batch.columns[2:]], ["doc_id", "hashes", *batch.schema.names[2:]])

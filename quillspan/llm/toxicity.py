@@ -61,7 +61,7 @@ def _chosen(row: np.ndarray, feature: np.ndarray, y: np.ndarray, most: int, leas
     return np.sort(order[np.abs(z[order]) >= least_z])
 
 
-def fit_linear(row: np.ndarray, feature: np.ndarray, bins: np.ndarray, y: np.ndarray, before: np.ndarray, *, most: int = 4000, least_z: float = 3.0, ridge: float = 2e-5, turns: int = 500) -> Linear:
+def fit_linear(row: np.ndarray, feature: np.ndarray, bins: np.ndarray, y: np.ndarray, before: np.ndarray, *, most: int = 1000, least_z: float = 3.0, ridge: float = 2e-5, turns: int = 150) -> Linear:
     """row, feature: which texts have which features; bins: each feature's bin; before: earlier categories' chances. A category that all texts or none have gets its share as its chance."""
     n, k = len(y), before.shape[1]
     share = (y.sum() + 0.5) / (n + 1)
@@ -106,11 +106,14 @@ def best_threshold(chance: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip(c[at] - gap[at] / 2, 0.05, 0.95))
 
 
-def fit_chain(texts: list[np.ndarray], labels: np.ndarray, folds: int = 5) -> tuple[list[Linear], float]:
+def fit_chain(texts: list[np.ndarray], labels: np.ndarray, folds: int = 3) -> tuple[list[Linear], float]:
     """One model for each column of labels, and a threshold for the last. Later ones learn from chances that models of the other folds gave the earlier categories."""
     n = len(texts)
-    row = np.repeat(np.arange(n), [len(t) for t in texts])
-    bins, feature = np.unique(np.concatenate(texts) if n else np.zeros(0, np.int64), return_inverse=True)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in texts])
+    feature = np.concatenate(texts) if n else np.zeros(0, np.int32)
+    often = np.bincount(feature, minlength=BINS) >= 3
+    row, feature = row[often[feature]], feature[often[feature]]
+    bins, feature = np.flatnonzero(often), (np.cumsum(often, dtype=np.int32) - 1)[feature]
     fold = np.arange(n) % folds
     before, chain = np.zeros((n, 0)), []
     for y in labels.T:
@@ -146,7 +149,7 @@ def learn_chain(documents: DataFrame, labels: DataFrame, categories: dict[str, C
     rows = text.join(F.broadcast(drawn), "_id").drop("_id").mapInArrow(_featured, kinds).toPandas()
     rows = rows.sort_values(list(rows.columns)).drop_duplicates("found")
     rows = rows.iloc[np.random.Generator(np.random.Philox(key=[seed, 1])).permutation(len(rows))]
-    return fit_chain([np.frombuffer(b, np.int32).astype(np.int64) for b in rows["found"]], rows[[f"_c{i}" for i in range(len(categories))]].to_numpy(bool).reshape(len(rows), -1))
+    return fit_chain([np.frombuffer(b, np.int32) for b in rows["found"]], rows[[f"_c{i}" for i in range(len(categories))]].to_numpy(bool).reshape(len(rows), -1))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], chain: list[Linear]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +172,7 @@ def label_categories() -> dict[str, Column]:
     return {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
 
 
-def classify_toxicity(documents: DataFrame, labels: DataFrame, *, categories: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float | None = None, most_rows: int = 12_000, seed: int = 3) -> DataFrame:
+def classify_toxicity(documents: DataFrame, labels: DataFrame, *, categories: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float | None = None, most_rows: int = 8_000, seed: int = 3) -> DataFrame:
     """doc_id, p_<category> for each category, toxic (the last one's chance is threshold or more) and kept (not toxic).
 
     categories: names and conditions on labels, in the order of the chain; by default low quality, then toxicity. Each

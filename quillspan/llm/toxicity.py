@@ -64,7 +64,7 @@ def _chosen(row: np.ndarray, feature: np.ndarray, y: np.ndarray, most: int, leas
 def fit_linear(row: np.ndarray, feature: np.ndarray, bins: np.ndarray, y: np.ndarray, before: np.ndarray, *, most: int = 1000, least_z: float = 3.0, ridge: float = 2e-5, turns: int = 150) -> Linear:
     """row, feature: which texts have which features; bins: each feature's bin; before: earlier categories' chances. A category that all texts or none have gets its share as its chance."""
     n, k = len(y), before.shape[1]
-    share = (y.sum() + 0.5) / (n + 1)
+    share = (y.sum() + 0.5) / (n + 2)
     if not 0 < y.sum() < n:
         return Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(k), float(np.log(share / (1 - share))))
     chosen = _chosen(row, feature, y, most, least_z)
@@ -149,7 +149,7 @@ def learn_chain(documents: DataFrame, labels: DataFrame, categories: dict[str, C
     rows = text.join(F.broadcast(drawn), "_id").drop("_id").mapInArrow(_featured, kinds).toPandas()
     rows = rows.sort_values(list(rows.columns)).drop_duplicates("found")
     rows = rows.iloc[np.random.Generator(np.random.Philox(key=[seed, 1])).permutation(len(rows))]
-    return fit_chain([np.frombuffer(b, np.int32) for b in rows["found"]], rows[[f"_c{i}" for i in range(len(categories))]].to_numpy(bool).reshape(len(rows), -1))
+    return fit_chain([np.frombuffer(b, np.int32) for b in rows["found"]], rows[[f"_c{i}" for i in range(len(categories))]].to_numpy(bool).reshape(len(rows), len(categories)))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], chain: list[Linear]) -> Iterator[pa.RecordBatch]:

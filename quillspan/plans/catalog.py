@@ -1,6 +1,6 @@
 """All queries of the library, by name."""
 
-from quillspan.plans import cleaning, counting, grouping  # noqa: F401
+from quillspan.plans import cleaning, counting, files, grouping  # noqa: F401
 from quillspan.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

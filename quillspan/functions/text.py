@@ -14,6 +14,15 @@ OCR_CJK = r"\x{3000}-\x{303F}" + IDEOGRAPH + r"\x{FF00}-\x{FFEF}"
 HAN = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}"
 LATIN = r"A-Za-z\x{C0}-\x{24F}"
 
+# What an empty slide shows, in lower case.
+PLACEHOLDERS = [
+    "click to add title", "click to add subtitle", "click to add text",
+    "click to add slide title", "click to add slide subtitle", "click to add notes",
+    "点击此处添加标题", "点击此处添加副标题", "点击此处添加文本",
+    "点击此处添加幻灯片标题", "点击此处添加幻灯片副标题", "点击此处添加备注",
+    "date", "footer", "slide number", "页脚", "页码", "presenter name", "company name", "作者", "单位",
+]
+
 RUN = f"[^{WS}{FAR}]+"
 
 

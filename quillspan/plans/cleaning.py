@@ -192,15 +192,13 @@ def d14_layer_visibility(t: Tables) -> DataFrame:
     return entities.join(layers, F.col("l_suppkey") == F.col("layer"), "left").select("l_orderkey", "l_linenumber", F.coalesce(F.col("plot") & F.col("is_on") & ~F.col("frozen"), F.lit(True)).alias("visible"))
 
 
-#: What a slide shows before it is filled in.
-PLACEHOLDERS = ["click to add title", "click to add text", "单击此处添加标题", "单击此处添加文本", "title", "subtitle", "text"]
-SLIDE = "CASE p_partkey % 4 WHEN 0 THEN ' Subtitle ' WHEN 1 THEN 'Text' ELSE p_name END"
+SLIDE = "CASE p_partkey % 4 WHEN 0 THEN ' Footer ' WHEN 1 THEN '页码' ELSE p_name END"
 
 
-@query(f"SELECT p_partkey, length({T.stripped_sql('s')}) <= 15 AND lower({T.stripped_sql('s')}) IN (" + ", ".join(f"'{p}'" for p in PLACEHOLDERS) + f") AS placeholder FROM (SELECT p_partkey, {SLIDE} AS s FROM part)")
+@query(f"SELECT p_partkey, length({T.stripped_sql('s')}) <= 15 AND lower({T.stripped_sql('s')}) IN (" + ", ".join(f"'{p}'" for p in T.PLACEHOLDERS) + f") AS placeholder FROM (SELECT p_partkey, {SLIDE} AS s FROM part)")
 def d15_placeholders(t: Tables) -> DataFrame:
     s = T.stripped(F.expr(SLIDE))
-    return t.part.select("p_partkey", ((F.length(s) <= 15) & F.lower(s).isin(PLACEHOLDERS)).alias("placeholder"))
+    return t.part.select("p_partkey", ((F.length(s) <= 15) & F.lower(s).isin(T.PLACEHOLDERS)).alias("placeholder"))
 
 
 @query("SELECT doc_id, image_only, n_images, coalesce(toxic, 0) = 1 AS flagged FROM (SELECT doc_id, n_chars < 60 AS image_only, doc_id % 4 AS n_images FROM documents) LEFT JOIN labels USING (doc_id) WHERE image_only OR n_images = 3 OR coalesce(toxic, 0) = 1")

@@ -16,6 +16,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspan.functions.text import PLACEHOLDERS
+
 #: Archives inside archives are opened down to this depth, and members up to this size.
 MOST_DEPTH, MOST_BYTES = 5, 256 << 20
 UNIT_SCHEMA = "path string, member string, depth int, ok boolean, error string, seq int, kind string, sheet string, row int, col int, hidden boolean, text string"
@@ -122,10 +124,6 @@ def xlsx_units(data: bytes) -> Iterator[dict]:
                     yield {"kind": "cell", "sheet": sheet.attrib.get("name"), "hidden": sheet.attrib.get("state", "visible") != "visible", "row": int(re.search(r"\d+$", ref)[0]) - 1, "col": _column(ref), "text": text.strip()}
 
 
-#: What a slide shows before it is filled in.
-PLACEHOLDERS = {"click to add title", "click to add text", "单击此处添加标题", "单击此处添加文本", "title", "subtitle", "text"}
-
-
 def pptx_units(data: bytes) -> Iterator[dict]:
     """Paragraphs of the slides by number, then of their notes, which count as hidden."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:

@@ -185,10 +185,11 @@ def d13_recovery_gate(t: Tables) -> DataFrame:
     return stats.select("o_orderkey", gate.otherwise((F.col("new_common") >= 0.10 * new) & (F.col("diversity") < 0.7)).alias("replaces"))
 
 
-@query("SELECT l_orderkey, l_linenumber, coalesce(plot AND is_on AND NOT frozen, true) AS visible FROM lineitem LEFT JOIN (SELECT s_suppkey AS layer, s_suppkey % 7 <> 0 AS plot, s_suppkey % 5 <> 0 AS is_on, s_suppkey % 11 = 0 AS frozen FROM supplier WHERE s_suppkey % 2 = 0) ON l_suppkey = layer WHERE l_shipmode_xref IS NULL".replace(" WHERE l_shipmode_xref IS NULL", " WHERE l_partkey % 13 <> 0"))
+@query("SELECT l_orderkey, l_linenumber, coalesce(plot AND is_on AND NOT frozen, true) AS visible FROM lineitem LEFT JOIN (SELECT s_suppkey AS layer, s_nationkey <> 7 AS plot, s_acctbal > 0 AS is_on, s_nationkey = 11 AS frozen FROM supplier WHERE s_acctbal > -500) ON l_suppkey = layer WHERE l_returnflag <> 'R'")
 def d14_layer_visibility(t: Tables) -> DataFrame:
-    layers = t.supplier.where("s_suppkey % 2 = 0").selectExpr("s_suppkey AS layer", "s_suppkey % 7 <> 0 AS plot", "s_suppkey % 5 <> 0 AS is_on", "s_suppkey % 11 = 0 AS frozen")
-    entities = t.lineitem.where("l_partkey % 13 <> 0")
+    """Returned lines stand for outside references, which are left out; suppliers for layers, some of which the file doesn't list."""
+    layers = t.supplier.where("s_acctbal > -500").selectExpr("s_suppkey AS layer", "s_nationkey <> 7 AS plot", "s_acctbal > 0 AS is_on", "s_nationkey = 11 AS frozen")
+    entities = t.lineitem.where("l_returnflag <> 'R'")
     return entities.join(layers, F.col("l_suppkey") == F.col("layer"), "left").select("l_orderkey", "l_linenumber", F.coalesce(F.col("plot") & F.col("is_on") & ~F.col("frozen"), F.lit(True)).alias("visible"))
 
 

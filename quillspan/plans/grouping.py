@@ -114,12 +114,12 @@ def f02_keep_repeats(t: Tables) -> DataFrame:
     return lines.unionAll(lines.where("pos = 0"))
 
 
-FRAGMENTS = "(SELECT l_suppkey, list_distinct(list(l_returnflag || l_linestatus || l_linenumber || (l_partkey % 3))) AS x FROM lineitem WHERE l_suppkey < 60 GROUP BY 1)"
+FRAGMENTS = "(SELECT l_suppkey, list_distinct(list(l_returnflag || l_linestatus || l_linenumber || (l_partkey % 3))) AS x FROM lineitem GROUP BY 1)"
 
 
 @query(f"SELECT a.l_suppkey AS a, b.l_suppkey AS b, len(list_intersect(a.x, b.x)) / (len(a.x) + len(b.x) - len(list_intersect(a.x, b.x))) >= 0.97 AS same FROM {FRAGMENTS} a JOIN {FRAGMENTS} b ON a.l_suppkey // 4 = b.l_suppkey // 4 AND a.l_suppkey < b.l_suppkey")
 def f05_same_objects(t: Tables) -> DataFrame:
-    sets = t.lineitem.where("l_suppkey < 60").groupBy("l_suppkey").agg(F.collect_set(F.concat("l_returnflag", "l_linestatus", "l_linenumber", F.col("l_partkey") % 3)).alias("x"))
+    sets = t.lineitem.groupBy("l_suppkey").agg(F.collect_set(F.concat("l_returnflag", "l_linestatus", "l_linenumber", F.col("l_partkey") % 3)).alias("x"))
     a, b = sets.select(F.col("l_suppkey").alias("a"), F.col("x").alias("ax"), F.expr("l_suppkey div 4").alias("g")), sets.select(F.col("l_suppkey").alias("b"), F.col("x").alias("bx"), F.expr("l_suppkey div 4").alias("g"))
     return a.join(b, "g").where("a < b").select("a", "b", (F.size(F.array_intersect("ax", "bx")) / F.size(F.array_union("ax", "bx")) >= 0.97).alias("same"))
 
@@ -194,13 +194,26 @@ def g01_equal_blocks(t: Tables) -> DataFrame:
     return S.match_equal(*_pairs(t), "pair")
 
 
+def contained_in(blocks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Each block's first document that contains it.
+
+    A block's second to fourth words stand whole wherever it is contained, so that they serve as the key of an equi-join
+    with the trigrams of all documents; blocks of fewer than five words have no such key and are compared with each text.
+    """
+    words = blocks.select("item_id", F.col("text").alias("part"), F.split("text", " ", -1).alias("w"))
+    keyed = words.where("size(w) >= 5").select("item_id", "part", F.array_join(F.slice("w", 2, 3), " ").alias("key"))
+    w = F.split("text", " ", -1)
+    grams = F.zip_with(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 2), F.slice(w, F.lit(2), F.size(w) - 2), lambda a, b: F.concat_ws(" ", a, b)), F.slice(w, F.lit(3), F.size(w) - 2), lambda a, b: F.concat_ws(" ", a, b))
+    each = documents.where(F.size(w) >= 3).select("doc_id", F.explode(F.array_distinct(grams)).alias("key"))
+    near = each.join(keyed, "key").select("item_id", "part", "doc_id")
+    found = documents.select("doc_id", "text").join(near, "doc_id").where(F.contains("text", "part")).select("item_id", "doc_id")
+    short = documents.join(words.where("size(w) < 5").select("item_id", "part"), F.contains("text", "part")).select("item_id", "doc_id")
+    return found.unionByName(short).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+
+
 @query("SELECT item_id, min(doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
 def g02_contained_blocks(t: Tables) -> DataFrame:
-    # a block is looked for where its first words occur; only the few blocks are broadcast
-    gram = lambda c: F.slice(F.split(c, " "), 1, 3)
-    items = t.benchmark.select("item_id", F.col("text").alias("part"), F.array_join(gram(F.col("text")), " ").alias("key"))
-    found = t.documents.join(F.broadcast(items.limit(100_000)), F.contains("text", F.col("key")) & F.contains("text", F.col("part")))
-    return found.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    return contained_in(t.benchmark, t.documents)
 
 
 LEFT_SQL = f"(SELECT p.* FROM {PAIRED} p LEFT JOIN {EQUAL_SQL} e ON p.pair = e.pair AND p.pos = CASE p.side WHEN 0 THEN e.oi ELSE e.rj END WHERE e.pair IS NULL)"
@@ -229,13 +242,16 @@ def g05_leftovers(t: Tables) -> DataFrame:
     return left.select("pair", F.lit("DEL").alias("tag"), "pos", "text").unionByName(right.select("pair", F.lit("INS").alias("tag"), "pos", "text"))
 
 
-INSERTS = "(SELECT CASE WHEN p_partkey % 5 = 0 THEN 'root' || (p_partkey % 3) ELSE 'b' || (p_partkey % 20) END AS parent, 'b' || (p_partkey % 20 + 1 + p_partkey % 3) AS child FROM part WHERE p_partkey <= 60)"
+#: Nations as blocks: each is inserted into its region's root and once into the block five numbers before it; suppliers are their texts.
+INSERTS = "(SELECT 'root' || n_regionkey AS parent, 'b' || n_nationkey AS child FROM nation UNION ALL SELECT 'b' || n_nationkey, 'b' || (n_nationkey + 5) FROM nation)"
 
 
-@query(f"WITH RECURSIVE reach(root, block, depth) AS (SELECT parent, child, 1 FROM {INSERTS} WHERE parent LIKE 'root%' UNION ALL SELECT r.root, i.child, r.depth + 1 FROM reach r JOIN {INSERTS} i ON i.parent = r.block WHERE r.depth < 6) SELECT root, n.n_name AS text, count(*) AS n FROM reach JOIN nation n ON 'b' || n_nationkey = block GROUP BY 1, 2")
+@query(f"WITH RECURSIVE reach(root, block, depth) AS (SELECT parent, child, 1 FROM {INSERTS} WHERE parent LIKE 'root%' UNION ALL SELECT r.root, i.child, r.depth + 1 FROM reach r JOIN {INSERTS} i ON i.parent = r.block WHERE r.depth < 6) SELECT root, s_name AS text, count(*) AS n FROM reach JOIN supplier ON 'b' || s_nationkey = block GROUP BY 1, 2")
 def g12_block_texts(t: Tables) -> DataFrame:
-    inserts = t.part.where("p_partkey <= 60").selectExpr("CASE WHEN p_partkey % 5 = 0 THEN concat('root', p_partkey % 3) ELSE concat('b', p_partkey % 20) END AS parent", "concat('b', p_partkey % 20 + 1 + p_partkey % 3) AS child")
-    return S.expand_blocks(t.spark, inserts, t.nation.selectExpr("concat('b', n_nationkey) AS block", "n_name AS text"))
+    block = F.concat(F.lit("b"), "n_nationkey")
+    inserts = t.nation.select(F.concat(F.lit("root"), "n_regionkey").alias("parent"), block.alias("child"))
+    inserts = inserts.unionByName(t.nation.select(block.alias("parent"), F.concat(F.lit("b"), F.col("n_nationkey") + 5).alias("child")))
+    return S.expand_blocks(t.spark, inserts, t.supplier.select(F.concat(F.lit("b"), "s_nationkey").alias("block"), F.col("s_name").alias("text")))
 
 
 @query("SELECT s_suppkey, n_name AS shared, r_name AS target FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -243,12 +259,12 @@ def g13_lookups(t: Tables) -> DataFrame:
     return t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", F.col("n_name").alias("shared"), F.col("r_name").alias("target"))
 
 
-SPANS = "(SELECT l_suppkey AS g, CAST(l_partkey * 7 % 3000 AS BIGINT) AS s, CAST(l_partkey * 7 % 3000 + l_quantity AS BIGINT) AS e FROM lineitem WHERE l_linenumber = 1)"
+SPANS = "(SELECT l_suppkey AS g, CAST(l_partkey * 7 % 3000 AS BIGINT) AS s, CAST(l_partkey * 7 % 3000 + l_quantity AS BIGINT) AS e FROM lineitem)"
 MERGED = f"(SELECT g, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY g ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN max(e) OVER (PARTITION BY g ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 >= s THEN 0 ELSE 1 END AS new FROM {SPANS})) GROUP BY g, island)"
 
 
 def _merged(t: Tables) -> DataFrame:
-    spans = t.lineitem.where("l_linenumber = 1").selectExpr("l_suppkey AS g", "CAST(l_partkey * 7 % 3000 AS BIGINT) AS s", "CAST(l_partkey * 7 % 3000 + l_quantity AS BIGINT) AS e")
+    spans = t.lineitem.selectExpr("l_suppkey AS g", "CAST(l_partkey * 7 % 3000 AS BIGINT) AS s", "CAST(l_partkey * 7 % 3000 + l_quantity AS BIGINT) AS e")
     return S.merge_intervals(spans, "g")
 
 
@@ -381,7 +397,7 @@ def tile_starts(size, tile: int = 1600, overlap: int = 150):
 STARTS = "list_distinct(list_concat(range(0, greatest(0, {0} - 1600) + 1, 1450), [greatest(0, {0} - 1600)]))"
 
 
-@query(f"SELECT o_orderkey, unnest(xs) AS x, y FROM (SELECT o_orderkey, xs, unnest(ys) AS y FROM (SELECT o_orderkey, {STARTS.format('(o_orderkey % 5000)')} AS xs, {STARTS.format('(o_custkey % 7000)')} AS ys FROM orders WHERE o_orderkey % 10 = 1 OR true))")
+@query(f"SELECT o_orderkey, unnest(xs) AS x, y FROM (SELECT o_orderkey, xs, unnest(ys) AS y FROM (SELECT o_orderkey, {STARTS.format('(o_orderkey % 5000)')} AS xs, {STARTS.format('(o_custkey % 7000)')} AS ys FROM orders))")
 def k03_tiles(t: Tables) -> DataFrame:
     sides = t.orders.select("o_orderkey", tile_starts(F.col("o_orderkey") % 5000).alias("xs"), tile_starts(F.col("o_custkey") % 7000).alias("ys"))
     return sides.select("o_orderkey", "xs", F.explode("ys").alias("y")).select("o_orderkey", F.explode("xs").alias("x"), "y")

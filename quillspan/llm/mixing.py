@@ -130,3 +130,26 @@ def repeat_by_mix(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     named = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_document"), *keys)
     out = mix_columns(named, plan, seed=seed, most=most).where("_copies > 0")
     return out.select("_document", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_document.*")
+
+
+def mix_sql(weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17) -> str:
+    """The mix of documents as DuckDB's SQL, with each source's rows in one window."""
+    return rf"""
+WITH sized AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS key, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+strata0 AS (SELECT *, list_extract({LENGTH_WEIGHTS}, CAST(length(bin(greatest(size, 1))) AS INTEGER)) AS w, length(bin(greatest(size, 1))) - 1 AS b FROM sized),
+sources AS (SELECT key, min(source) AS source, sum(size) AS ss FROM sized GROUP BY 1),
+weighed AS (SELECT *, list_extract({list(weights)}, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} + 1 AS INTEGER)) AS weight FROM sources),
+levels AS (SELECT *, CAST(ss AS DOUBLE) / weight AS ratio, CAST(sum(ss) OVER () - {most} * coalesce(sum(ss) OVER (ORDER BY CAST(ss AS DOUBLE) / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) / sum(weight) OVER (ORDER BY CAST(ss AS DOUBLE) / weight, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+shared AS (SELECT arg_min(level, {{'r': ratio, 'k': key}}) FILTER (WHERE level * weight <= {most} * ss) AS shared FROM levels),
+targets AS (SELECT key, ss, least(CAST({most} * ss AS DOUBLE), coalesce(shared * weight, CAST({most} * ss AS DOUBLE))) AS target FROM levels, shared),
+strata AS (SELECT key, b, w, sum(size) AS words FROM strata0 GROUP BY ALL),
+scaled AS (SELECT s.*, target, (target - CAST({most} * coalesce(sum(words) OVER (PARTITION BY key ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)) / nullif(CAST(sum(words * w) OVER (PARTITION BY key ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE), 0) AS c FROM strata s JOIN targets USING (key)),
+scales AS (SELECT key, coalesce(arg_min(c, b) FILTER (WHERE c * w <= {most}), CAST({most} AS DOUBLE)) AS scale FROM scaled GROUP BY 1),
+plan AS (SELECT key, any_value(scale) AS scale, any_value(target) - CAST(sum(floor(least(CAST({most} AS DOUBLE), scale * CAST(w AS DOUBLE))) * words) AS DOUBLE) AS over FROM scaled JOIN scales USING (key) GROUP BY 1),
+expected AS (SELECT doc_id, key, size, over, least(CAST({most} AS DOUBLE), scale * CAST(w AS DOUBLE)) AS x, (CAST(CAST('0x' || substring(md5(doc_id || ':{seed}'), 1, 12) AS BIGINT) AS DOUBLE) + 0.5::DOUBLE) / {float(2**48)}::DOUBLE AS u FROM strata0 JOIN plan USING (key)),
+ranked AS (SELECT *, CAST(floor(x) AS BIGINT) AS whole, CASE WHEN x > floor(x) THEN (u / (1 - u)) / ((x - floor(x)) / (1 - (x - floor(x)))) END AS rank FROM expected),
+summed AS (SELECT *, sum(size) OVER (PARTITION BY key ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) AS stop FROM ranked WHERE rank IS NOT NULL),
+remaining AS (SELECT key, any_value(over) - coalesce(max(stop) FILTER (WHERE stop <= over), 0) AS rest FROM summed GROUP BY 1),
+extra AS (SELECT key, min({{'m': abs(size - rest), 'r': rank, 'i': doc_id, 's': size}}) AS e FROM summed JOIN remaining USING (key) WHERE stop > over AND abs(size - rest) < rest GROUP BY 1)
+SELECT r.doc_id, r.size, CAST(ss AS BIGINT) AS source_size, target, r.whole + CASE WHEN coalesce(stop <= r.over, false) OR coalesce(e.i = r.doc_id AND e.s = r.size AND e.r = r.rank, false) THEN 1 ELSE 0 END AS copies, copies * r.size AS taken
+FROM ranked r JOIN targets USING (key) LEFT JOIN summed s ON s.doc_id = r.doc_id AND s.size = r.size LEFT JOIN extra ON extra.key = r.key"""

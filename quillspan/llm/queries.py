@@ -10,8 +10,8 @@ from quillspan.llm.chat import CHAT_SQL, format_chats
 from quillspan.llm.langid import identify_languages
 from quillspan.llm.licenses import scan_licenses, scan_sql
 from quillspan.llm.media import media_columns
-from quillspan.llm.minhash import near_duplicates
-from quillspan.llm.mixing import mix_sources
+from quillspan.llm.minhash import NEAR_SQL, near_duplicates
+from quillspan.llm.mixing import mix_sources, mix_sql
 from quillspan.llm.packing import pack_documents
 from quillspan.llm.repetition import repetition_rules
 from quillspan.llm.tokencount import token_counts
@@ -67,4 +67,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_dice": scan_sql(), "op5_maximal_chats": CHAT_SQL}
+    return {"op2_minhash_coordinates": NEAR_SQL, "op10_pareto_mix": mix_sql(), "op4_license_dice": scan_sql(), "op5_maximal_chats": CHAT_SQL}

@@ -6,14 +6,15 @@ import io
 import zipfile
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
 from quillspan.operators import diff as D
-from quillspan.operators.units import count_units
-from quillspan.plans.counting import LINES
+from quillspan.operators.units import count_units, lines
+from quillspan.plans.counting import KEY, LINES, line_key
 from quillspan.plans.grouping import _pairs
 from quillspan.plans.registry import Tables, query
 from quillspan.sources.office import units_of_files
@@ -94,7 +95,7 @@ def b03_zip(t: Tables) -> DataFrame:
 MAGIC = {"zip": "504B0304", "rar": "52617221", "gz": "1F8B", "pdf": "25504446", "7z": "377ABCAF271C"}
 
 
-@query()
+@query("SELECT doc_id || '.zip' AS path, 'zip' AS kind FROM documents UNION ALL SELECT doc_id || '.txt', NULL FROM documents")
 def a05_magic_bytes(t: Tables) -> DataFrame:
     files = _files(t, "zip").unionByName(_files(t, "txt"))
     head, kind = F.hex(F.substring("content", 1, 8)), F.lit(None).cast("string")
@@ -109,9 +110,66 @@ def g03_aligned_pairs(t: Tables) -> DataFrame:
     return D.align_pairs(left, right)
 
 
-@query()
+@query(f"SELECT CAST(grouping(source) AS TINYINT) AS total, '| ' || coalesce(source, '合计') || ' | ' || sum(fe) || ' | ' || sum(nc) || ' | ' || sum(chars) || ' | ' || sum(words) || ' |' AS line FROM (SELECT source, {T.metrics_sql('text')} FROM documents) GROUP BY ROLLUP (source)")
 def l02_summary_report(t: Tables) -> DataFrame:
     """A merged report's table as Markdown lines, the total last."""
     per = t.documents.select("source", *T.metrics(F.col("text"))).rollup("source").agg(*T.totals(), F.grouping("source").alias("total"))
     cells = [F.coalesce("source", F.lit("合计")), *[F.col(m).cast("string") for m in T.TOTALS]]
     return per.select("total", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def resolved_title(html: Column) -> Column:
+    """A page's title: what it states, else its first heading, else its first text."""
+    part = lambda pattern: F.nullif(T.stripped(F.regexp_extract(html, pattern, 1)), F.lit(""))
+    return F.coalesce(part("<title>([^<]*)<"), part("<h1[^>]*>([^<]*)<"), part(">([^<>]*[A-Za-z][^<>]*)<"))
+
+
+def _title(pattern: str) -> str:
+    return f"nullif({T.stripped_sql(f"regexp_extract(html, '{pattern}', 1)")}, '')"
+
+
+@query(f"SELECT page_id, coalesce({_title('<title>([^<]*)<')}, {_title('<h1[^>]*>([^<]*)<')}, {_title('>([^<>]*[A-Za-z][^<>]*)<')}) AS title FROM pages")
+def c22_titles(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", resolved_title(F.col("html")).alias("title"))
+
+
+def decode_escapes(c: Column) -> Column:
+    r"""Text with \U+XXXX escapes as the characters they stand for."""
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(r"\\[Uu]\+[0-9A-Fa-f]{4}"), F.lit(0)))
+    return F.aggregate(found, c, lambda text, e: F.replace(text, e, F.decode(F.unhex(F.substring(e, 4, 4)), "UTF-16BE")))
+
+
+@query("SELECT p_partkey, p_name || '中ß' || p_size || '中' AS plain FROM part")
+def c23_cad_escapes(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", decode_escapes(F.concat("p_name", F.lit(r"\U+4E2D\u+00DF"), "p_size", F.lit(r"\U+4e2d"))).alias("plain"))
+
+
+def near_line_dedup(lines: DataFrame, by: str) -> DataFrame:
+    """Lines of each group in order, without those whose key was met, or lies within a longer kept one or around a kept one."""
+
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        kept: list[str] = []
+        take = []
+        for key in rows.sort_values("pos")["key"]:
+            same = any(key in k or (k and k in key) for k in kept) if key else True
+            take.append(not same)
+            if not same:
+                kept.append(key)
+        return rows.sort_values("pos")[take].drop(columns=["key"])
+
+    keyed = lines.withColumn("key", line_key(F.col("line")))
+    return keyed.groupBy(by).applyInPandas(each, f"{by} bigint, pos int, line string")
+
+
+@query()
+def f03_near_lines(t: Tables) -> DataFrame:
+    return near_line_dedup(lines(t.documents), "doc_id")
+
+
+@query(f"SELECT doc_id, pos, line FROM {LINES} WHERE pos % 2 = 0 UNION ALL SELECT doc_id, min(pos), arg_min(line, pos) FROM {LINES} o WHERE pos % 2 = 1 AND NOT EXISTS (SELECT 1 FROM {LINES} p WHERE p.doc_id = o.doc_id AND p.pos % 2 = 0 AND regexp_replace(lower(p.line), '{KEY}', '', 'g') = regexp_replace(lower(o.line), '{KEY}', '', 'g')) GROUP BY doc_id, regexp_replace(lower(line), '{KEY}', '', 'g')")
+def f04_merged_readings(t: Tables) -> DataFrame:
+    """One reading's lines and those of a second one that it lacks, each once. Even and odd lines stand for the readings."""
+    keyed = lines(t.documents).withColumn("key", line_key(F.col("line")))
+    first, second = keyed.where("pos % 2 = 0"), keyed.where("pos % 2 = 1")
+    more = second.join(first.select("doc_id", "key"), ["doc_id", "key"], "left_anti").groupBy("doc_id", "key").agg(F.min_by("line", "pos").alias("line"), F.min("pos").alias("pos"))
+    return first.drop("key").unionByName(more.drop("key")).select("doc_id", "pos", "line")

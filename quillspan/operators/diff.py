@@ -73,6 +73,146 @@ def align(original: list[str], revised: list[str], least: float = 0.35, least_le
     return out + [("DEL", i, None) for i in gone[at:]]
 
 
+def in_document_order(ops: list[tuple[str, int | None, int | None]], n: int, m: int) -> list[tuple[str, int | None, int | None]]:
+    """Operations as a reader of both versions meets them: matches where both stand, else what the revision adds, else what it drops. A match that the revision moved is left out, as neither version reaches it in order."""
+    of_left = {i: (tag, i, j) for tag, i, j in ops if i is not None and tag != "SUB_EQ"}
+    of_right = {j: (tag, i, j) for tag, i, j in ops if j is not None}
+    out, i, j = [], 0, 0
+    while i < n or j < m:
+        left, right = of_left.get(i), of_right.get(j)
+        if left and i < n and j < m and left[2] == j:
+            out.append(left)
+            i, j = i + 1, j + 1
+        elif j < m and right and right[0] in ("SUB_EQ", "INS"):
+            out.append(right)
+            j += 1
+        elif i < n and left and left[0] == "DEL":
+            out.append(left)
+            i += 1
+        elif i < n and not left:
+            i += 1
+        elif j < m:
+            j += 1
+        else:
+            i += 1
+    return out
+
+
+def fused_opcodes(a: list[str], b: list[str]) -> list[tuple[str, int, int, int, int]]:
+    """Block ranges that are equal, replaced, deleted or inserted; a deletion beside an insertion of as many blocks is a replacement."""
+    out: list[tuple[str, int, int, int, int]] = []
+    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b).get_opcodes():
+        before = out[-1] if out else None
+        if before and {before[0], tag} == {"delete", "insert"} and before[2] - before[1] + i2 - i1 == before[4] - before[3] + j2 - j1:
+            out[-1] = ("replace", before[1], i2, before[3], j2)
+        else:
+            out.append((tag, i1, i2, j1, j2))
+    return out
+
+
+#: Cells of a table of common subsequences up to which texts are compared whole; longer ones go in steps of so many tokens, resynchronised within so many.
+WHOLE_CELLS, STEP, AHEAD = 4_000_000, 500, 25
+
+
+def common_runs(a: list[str], b: list[str]) -> list[tuple[bool, str, str]]:
+    """Whether equal, and both sides, of each stretch of two lists by their longest common subsequence."""
+    held = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        row, under = held[i], held[i + 1]
+        for j in range(len(b) - 1, -1, -1):
+            row[j] = under[j + 1] + 1 if a[i] == b[j] else max(under[j], row[j + 1])
+    out: list[tuple[bool, str, str]] = []
+    i = j = 0
+
+    def put(same: bool, x: str, y: str) -> None:
+        if out and out[-1][0] == same:
+            out[-1] = (same, out[-1][1] + x, out[-1][2] + y)
+        else:
+            out.append((same, x, y))
+
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            put(True, a[i], b[j])
+            i, j = i + 1, j + 1
+        elif held[i + 1][j] >= held[i][j + 1]:
+            put(False, a[i], "")
+            i += 1
+        else:
+            put(False, "", b[j])
+            j += 1
+    if i < len(a) or j < len(b):
+        put(False, "".join(a[i:]), "".join(b[j:]))
+    return out
+
+
+def _next_step(a: list[str], b: list[str], i: int, j: int) -> tuple[int, int]:
+    """Where the next step of both sides ends: before the nearest token that both hold around its end."""
+    x, y = min(len(a), i + STEP), min(len(b), j + STEP)
+    if x == len(a) or y == len(b):
+        return len(a), len(b)
+    shared = [(p + q, p, q) for p in range(AHEAD) for q in range(AHEAD) if x + p < len(a) and y + q < len(b) and a[x + p] == b[y + q] and a[x + p].strip()]
+    _, p, q = min(shared, default=(0, 0, 0))
+    return x + p, y + q
+
+
+def diff_runs(a: str, b: str) -> list[tuple[bool, str, str]]:
+    """Stretches of two texts by common subsequences of tokens; very long texts step by step, so that memory stays bounded."""
+    x, y = tokens(a), tokens(b)
+    if len(x) * len(y) <= WHOLE_CELLS:
+        return common_runs(x, y)
+    out: list[tuple[bool, str, str]] = []
+    i = j = 0
+    while i < len(x) or j < len(y):
+        p, q = _next_step(x, y, i, j)
+        # what is left of one side may be far longer than a step of the other
+        parts = common_runs(x[i:p], y[j:q]) if (p - i) * (q - j) <= WHOLE_CELLS else [(False, "".join(x[i:p]), "".join(y[j:q]))]
+        for same, s, t in parts:
+            if out and out[-1][0] == same:
+                out[-1] = (same, out[-1][1] + s, out[-1][2] + t)
+            else:
+                out.append((same, s, t))
+        i, j = p, q
+    return out
+
+
+def row_runs(a: list[str], b: list[str]) -> list[tuple[int, bool, str, str]]:
+    """Stretches of the cells of two table rows, cell by cell; a row's further cells are deleted or inserted whole."""
+    width = max(len(a), len(b))
+    a, b = a + [""] * (width - len(a)), b + [""] * (width - len(b))
+    return [(k, *run) for k, (x, y) in enumerate(zip(a, b, strict=True)) for run in diff_runs(x, y)]
+
+
+def escaped(text: str) -> str:
+    """Text for XML 1.0: characters that it forbids are left out, others escaped."""
+    text = re.sub("[^\\t\\n\\r\\x20-\\ud7ff\\ue000-\\ufffd\\U00010000-\\U0010ffff]", "", text)
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
+
+
+def tracked_paragraph(runs: list[tuple[bool, str, str]], author: str, date: str, first_id: int) -> str:
+    """A paragraph of WordprocessingML with its insertions and deletions tracked."""
+    by, out, number = f'w:author="{escaped(author)}" w:date="{escaped(date)}"', [], first_id
+    for same, old, new in runs:
+        if same:
+            out.append(f'<w:r><w:t xml:space="preserve">{escaped(new)}</w:t></w:r>')
+            continue
+        for kind, leaf, text in (("del", "delText", old), ("ins", "t", new)):
+            if text:
+                out.append(f'<w:{kind} w:id="{number}" {by}><w:r><w:{leaf} xml:space="preserve">{escaped(text)}</w:{leaf}></w:r></w:{kind}>')
+                number += 1
+    return f"<w:p>{''.join(out)}</w:p>"
+
+
+def tracked_body(original: list[str], revised: list[str], author: str, date: str) -> str:
+    """All paragraphs of both versions in the order of the alignment, with tracked changes."""
+    out, number = [], 1
+    for tag, i, j in align(original, revised):
+        old, new = "" if i is None else original[i], "" if j is None else revised[j]
+        runs = [(True, new, new)] if tag in ("EQ", "SUB_EQ") else diff_runs(old, new)
+        out.append(tracked_paragraph(runs, author, date, number))
+        number += 2 * len(runs)
+    return "".join(out)
+
+
 def align_pairs(original: DataFrame, revised: DataFrame) -> DataFrame:
     """Operations and their volume for each pair of two tables of pair, pos and text."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,6 +33,21 @@ def _safe(s: str) -> str:
     return s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
 
 
+def built_pdf(pages: list[list[str]]) -> bytes:
+    """A PDF with a page for each list of lines, compressed, in a font with a character map."""
+    kids = " ".join(f"{5 + 2 * k} 0 R" for k in range(len(pages)))
+    objects = ["<</Type/Catalog/Pages 2 0 R>>", f"<</Type/Pages/Count {len(pages)}/Kids[{kids}]/Resources<</Font<</F1 3 0 R>>>>>>", "<</Type/Font/ToUnicode 4 0 R>>"]
+    streams = [("", b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange")]
+    for lines in pages:
+        shown = "".join(f"0 -14 Td <{s.encode('utf-16-be').hex()}> Tj " for s in lines)
+        streams.append(("/Filter/FlateDecode", zlib.compress(f"BT /F1 12 Tf {shown}ET".encode())))
+    out = [b"%PDF-1.4\n", *(f"{k} 0 obj\n{x}\nendobj\n".encode() for k, x in enumerate(objects, 1))]
+    for k, (how, body) in enumerate(streams):
+        out.append(f"{4 + 2 * k} 0 obj\n<</Length {len(body)}{how}>>stream\n".encode() + body + b"\nendstream\nendobj\n")
+    out += [f"{5 + 2 * k} 0 obj\n<</Type/Page/Parent 2 0 R/Contents {6 + 2 * k} 0 R>>\nendobj\n".encode() for k in range(len(pages))]
+    return b"".join(out)
+
+
 def built_file(ext: str, lines: list[str]) -> bytes:
     """A small file of a format that holds the lines."""
     if ext == "docx":
@@ -40,6 +56,8 @@ def built_file(ext: str, lines: list[str]) -> bytes:
         return zipped({"xl/workbook.xml": "<w><sheets><sheet name='S'/></sheets></w>", "xl/worksheets/sheet1.xml": "<s>" + "".join(f"<c r='A{i}' t='inlineStr'><is><t>{_safe(s)}</t></is></c>" for i, s in enumerate(lines, 1)) + "</s>"})
     if ext == "pptx":
         return zipped({"ppt/slides/slide1.xml": "<s xmlns:a='a'>" + "".join(f"<a:p><a:r><a:t>{_safe(s)}</a:t></a:r></a:p>" for s in lines) + "</s>"})
+    if ext == "pdf":
+        return built_pdf([lines[i : i + 40] for i in range(0, max(len(lines), 1), 40)])
     if ext == "dxf":
         return "".join(f"0\nTEXT\n1\n{s}\n" for s in lines).encode() + b"0\nEOF\n"
     if ext == "zip":

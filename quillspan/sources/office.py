@@ -1,4 +1,4 @@
-"""Text units of files: plain text, Office packages, drawing exchange files, and archives of them."""
+"""Text units of files: plain text, PDF, Office packages, drawings, and archives of them."""
 
 from __future__ import annotations
 
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.functions.text import PLACEHOLDERS
+from quillspan.sources.carving import carved_units
+from quillspan.sources.pdf import pdf_units
 
 #: Archives inside archives are opened down to this depth, and members up to this size.
 MOST_DEPTH, MOST_BYTES = 5, 256 << 20
@@ -161,7 +163,7 @@ def dxf_units(data: bytes) -> Iterator[dict]:
 
 
 #: What reads a file, by its extension. More can be put in.
-EXTRACTORS = {"txt": text_units, "md": text_units, "csv": text_units, "docx": docx_units, "xlsx": xlsx_units, "xlsm": xlsx_units, "pptx": pptx_units, "dxf": dxf_units}
+EXTRACTORS = {"txt": text_units, "md": text_units, "csv": text_units, "docx": docx_units, "xlsx": xlsx_units, "xlsm": xlsx_units, "pptx": pptx_units, "dxf": dxf_units, "pdf": pdf_units, "dwg": carved_units}
 
 
 def _repaired(info: zipfile.ZipInfo) -> str:

@@ -1,0 +1,303 @@
+"""The text layer of PDF files: objects, pages, fonts' character maps, form values and titles, with the standard library alone."""
+
+from __future__ import annotations
+
+import functools
+import re
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+#: Bytes that one stream may inflate to.
+MOST_INFLATED = 64 << 20
+#: Thousandths of the font size by which a move within a line counts as a space.
+WORD_GAP = 200
+#: Encodings that are tried for strings of fonts without a map; one is taken only if it gives LEAST_FAR East-Asian characters more. Fixed values.
+CJK_CODINGS, LEAST_FAR = ("gbk", "gb18030", "big5", "shift_jis", "euc_kr"), 5
+
+_FAR = re.compile("[ᄀ-ᇿ　-〿㄰-㆏㐀-䶿一-鿿ꥠ-ꥼ가-힣]")
+_TOKEN = re.compile(rb"%[^\r\n]*|<<|>>|/[^\x00\t\n\x0c\r ()<>\[\]{}/%]*|\(|<[0-9A-Fa-f\s]*>|[\[\]]|[^\x00\t\n\x0c\r ()<>\[\]{}/%]+")
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b""}
+
+
+@dataclass
+class Pdf:
+    """Dictionaries and inflated streams by object number."""
+
+    heads: dict[int, bytes] = field(default_factory=dict)
+    streams: dict[int, bytes] = field(default_factory=dict)
+
+
+def _inflated(head: bytes, body: bytes) -> bytes:
+    if b"FlateDecode" in head or re.search(rb"/Filter\s*\[?\s*/Fl\b", head):
+        try:
+            return zlib.decompressobj().decompress(body, MOST_INFLATED)
+        except zlib.error:
+            return b""
+    return b"" if re.search(rb"/(DCT|JPX|CCITTFax|JBIG2)Decode", head) else body
+
+
+def parsed(data: bytes) -> Pdf:
+    """All objects in order, later ones in place of earlier ones of the same number; those in object streams too."""
+    out = Pdf()
+    for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b", data):
+        number, end = int(m[1]), data.find(b"endobj", m.end())
+        body = data[m.end() : end if end >= 0 else len(data)]
+        at = re.search(rb"stream\r?\n", body)
+        if at:
+            stop = data.find(b"endstream", m.end() + at.end())
+            raw = data[m.end() + at.end() : stop if stop >= 0 else len(data)]
+            out.heads[number] = body[: at.start()]
+            out.streams[number] = _inflated(body[: at.start()], raw)
+        else:
+            out.heads[number] = body
+    for number, head in list(out.heads.items()):
+        first = re.search(rb"/First\s+(\d+)", head)
+        if first and re.search(rb"/Type\s*/ObjStm", head):
+            packed = out.streams[number]
+            index = [int(x) for x in packed[: int(first[1])].split() if x.isdigit()]
+            starts = [int(first[1]) + x for x in index[1::2]]
+            for inner, a, b in zip(index[::2], starts, [*starts[1:], len(packed)], strict=False):
+                out.heads.setdefault(inner, packed[a:b])
+    return out
+
+
+def _literal(data: bytes, at: int) -> tuple[bytes, int]:
+    """The string that begins after a bracket, and where it ends."""
+    out, depth = bytearray(), 1
+    while at < len(data):
+        c = data[at : at + 1]
+        if c == b"\\":
+            octal = re.compile(rb"[0-7]{1,3}").match(data, at + 1)
+            if octal:
+                out.append(int(octal[0], 8) & 255)
+                at = octal.end()
+            else:
+                after = data[at + 1 : at + 2]
+                out += _ESCAPES.get(after, after)
+                at += 2
+            continue
+        depth += (c == b"(") - (c == b")")
+        at += 1
+        if not depth:
+            break
+        out += c
+    return bytes(out), at
+
+
+def tokens(data: bytes) -> Iterator[tuple[str, bytes]]:
+    """Strings ('s'), names ('n'), brackets and dictionaries ('b') and other words ('w')."""
+    at = 0
+    while m := _TOKEN.search(data, at):
+        at, word = m.end(), m[0]
+        if word == b"(":
+            text, at = _literal(data, at)
+            yield "s", text
+        elif word[:1] == b"<" and word != b"<<":
+            digits = re.sub(rb"\s", b"", word[1:-1])
+            yield "h", bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+        elif word[:1] == b"/":
+            yield "n", word[1:]
+        elif word in (b"<<", b">>", b"[", b"]"):
+            yield "b", word
+        elif word[:1] != b"%":
+            yield "w", word
+
+
+@functools.lru_cache(32)
+def character_map(stream: bytes) -> tuple[int, dict[int, str]]:
+    """Bytes of a code, and what codes stand for, of a font's ToUnicode stream."""
+    out, width, held, inside = {}, 1, [], None
+    # halves of a pair may stand under two codes; they are joined once all is read
+    read = lambda h: (b"\0" * (len(h) % 2) + h).decode("utf-16-be", "surrogatepass")
+    for kind, word in tokens(stream):
+        if kind == "w" and word == b"endcodespacerange" and held:
+            width = max(len(h) for h in held if isinstance(h, bytes))
+        elif kind == "w" and word == b"endbfchar":
+            flat = [h for h in held if isinstance(h, bytes)]
+            out |= {int.from_bytes(a): read(b) for a, b in zip(flat[::2], flat[1::2], strict=False)}
+        elif kind == "w" and word == b"endbfrange":
+            at = 0
+            while at + 2 < len(held):
+                low, high, to = held[at : at + 3]
+                codes = range(int.from_bytes(low), min(int.from_bytes(high), int.from_bytes(low) + 0xFFFF) + 1)
+                if isinstance(to, list):
+                    out |= {c: read(t) for c, t in zip(codes, to, strict=False)}
+                else:
+                    start = int.from_bytes(to)
+                    out |= {c: read((start + i).to_bytes(len(to))) if start + i < 256 ** len(to) else "" for i, c in enumerate(codes)}
+                at += 3
+        if kind == "w":
+            held, inside = [], None
+        elif word == b"[" and kind == "b":
+            inside = []
+            held.append(inside)
+        elif word == b"]" and kind == "b":
+            inside = None
+        elif kind == "h":
+            (held if inside is None else inside).append(word)
+    return width, out
+
+
+def _refs(head: bytes, key: bytes) -> list[int]:
+    m = re.search(rb"/" + key + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", head)
+    return [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", m[1])] if m else []
+
+
+def _dictionary(pdf: Pdf, head: bytes, key: bytes) -> bytes:
+    """What stands in a dictionary under a key, directly or in another object."""
+    m = re.search(rb"/" + key + rb"\s*(<<|(\d+)\s+\d+\s+R)", head)
+    if not m:
+        return b""
+    if m[2]:
+        return pdf.heads.get(int(m[2]), b"")
+    depth, at = 1, m.end()
+    while depth and (n := re.compile(rb"<<|>>").search(head, at)):
+        depth, at = depth + (1 if n[0] == b"<<" else -1), n.end()
+    return head[m.end() : at]
+
+
+def _fonts(pdf: Pdf, page: bytes) -> dict[bytes, tuple[int, dict[int, str]]]:
+    """The maps of a page's fonts by name; resources may stand in the page or in a parent."""
+    resources, seen = b"", 0
+    while not (resources := _dictionary(pdf, page, b"Resources")) and seen < 32:
+        parent = _refs(page, b"Parent")
+        if not parent:
+            break
+        page, seen = pdf.heads.get(parent[0], b""), seen + 1
+    out = {}
+    for name, number in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", _dictionary(pdf, resources, b"Font")):
+        head = pdf.heads.get(int(number), b"")
+        maps = _refs(head, b"ToUnicode")
+        if maps and maps[0] in pdf.streams:
+            out[name] = character_map(pdf.streams[maps[0]])
+        elif b"Identity-H" in head:
+            # codes of a font without a map are most often characters themselves
+            out[name] = (2, {})
+    return out
+
+
+def _shown(raw: bytes, font: tuple[int, dict[int, str]] | None) -> str:
+    if font is None:
+        return raw.decode("cp1252", "replace")
+    width, known = font
+    codes = [int.from_bytes(raw[i : i + width]) for i in range(0, len(raw) - width + 1, width)]
+    out = "".join(known.get(c) or (chr(c) if 0x100 <= c < 0x110000 else bytes([c & 255]).decode("cp1252", "replace")) for c in codes)
+    return out.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def far_characters(text: str) -> int:
+    return len(_FAR.findall(text))
+
+
+def decoded_page(content: bytes, fonts: dict[bytes, tuple[int, dict[int, str]]]) -> str:
+    """What a page's operators show, a line for each move to another line."""
+    lines, plain, font, args, depth = [""], bytearray(), None, [], 0
+    for kind, word in tokens(content):
+        if kind != "w" or re.fullmatch(rb"[+-]?[\d.]+", word):
+            args.append((kind, word))
+            continue
+        strings = [a for a in args if a[0] in "shw"]
+        if word == b"Tf":
+            font = fonts.get(next((w for k, w in args if k == "n"), b""))
+        elif word in (b"Td", b"TD", b"Tm"):
+            moves = [float(w) for k, w in args if k == "w"]
+            lines.append("") if lines[-1] and (word == b"Tm" or len(moves) < 2 or moves[1]) else None
+        elif word in (b"T*", b"'", b'"', b"ET") and lines[-1]:
+            lines.append("")
+        if word in (b"Tj", b"TJ", b"'", b'"'):
+            for k, w in strings:
+                if k == "w":
+                    lines[-1] += " " if word == b"TJ" and float(w) < -WORD_GAP and lines[-1][-1:] not in ("", " ") else ""
+                else:
+                    lines[-1] += _shown(w, font)
+                    plain += w if font is None else b""
+        args = []
+    text = "\n".join(s.strip() for s in lines if s.strip())
+    if plain and not text.isascii():
+        tried = [t for coding in CJK_CODINGS if "�" not in (t := bytes(plain).decode(coding, "replace"))]
+        best = max(tried, key=far_characters, default="")
+        if far_characters(best) >= max(far_characters(text) + LEAST_FAR, LEAST_FAR):
+            return best
+    return text
+
+
+def _page_numbers(pdf: Pdf) -> list[int]:
+    """Pages in the order of the tree, else as they stand."""
+    leaves = dict.fromkeys(n for n, h in pdf.heads.items() if re.search(rb"/Type\s*/Page\b", h))
+    order, todo = [], [k for n, h in pdf.heads.items() if re.search(rb"/Type\s*/Pages\b", h) and not _refs(h, b"Parent") for k in _refs(h, b"Kids")][::-1]
+    seen: set[int] = set()
+    while todo:
+        n = todo.pop()
+        if n in seen:
+            continue
+        seen.add(n)
+        if n in leaves:
+            order.append(n)
+        else:
+            todo += _refs(pdf.heads.get(n, b""), b"Kids")[::-1]
+    return order + [n for n in leaves if n not in seen]
+
+
+def pdf_pages(data: bytes) -> list[str]:
+    """The text of each page; empty where a page shows none, such as one that is an image alone."""
+    pdf = parsed(data)
+    out = []
+    for number in _page_numbers(pdf):
+        page = pdf.heads[number]
+        out.append(decoded_page(b"\n".join(pdf.streams.get(n, b"") for n in _refs(page, b"Contents")), _fonts(pdf, page)))
+    return out
+
+
+def count_pages(data: bytes) -> int:
+    """Pages that are met, else the largest count that the file states, else one."""
+    pdf = parsed(data)
+    stated = [int(x) for h in pdf.heads.values() for x in re.findall(rb"/Count\s+(\d+)", h) if re.search(rb"/Type\s*/Pages\b", h)]
+    return len(_page_numbers(pdf)) or max(stated, default=0) or 1
+
+
+def _text_string(raw: bytes) -> str:
+    if raw[:2] == b"\xfe\xff":
+        return raw[2:].decode("utf-16-be", "replace")
+    return raw.decode("utf-8") if raw[:3] == b"\xef\xbb\xbf" else raw.decode("cp1252", "replace")
+
+
+def _entries(head: bytes, keys: tuple[bytes, ...]) -> Iterator[str]:
+    before = b""
+    for kind, word in tokens(head):
+        if kind in ("s", "h") and before in keys:
+            yield _text_string(word)
+        before = word if kind == "n" else b""
+
+
+def form_values(data: bytes) -> list[str]:
+    """Values of form fields that hold text, each once whatever its case."""
+    pdf = parsed(data)
+    out: dict[str, str] = {}
+    for head in pdf.heads.values():
+        if re.search(rb"/FT\b|/Kids\b|/Parent\b|/Subtype\s*/Widget", head):
+            for value in map(str.strip, _entries(head, (b"V", b"DV"))):
+                if value and len(value) <= 200 and (" " in value or any(c.isalpha() for c in value)):
+                    out.setdefault(value.lower(), value)
+    return list(out.values())
+
+
+def title(data: bytes) -> str | None:
+    """The title that the file states."""
+    found = (t.strip() for h in parsed(data).heads.values() for t in _entries(h, (b"Title",)))
+    return next((t for t in found if t), None)
+
+
+def pdf_units(data: bytes) -> Iterator[dict]:
+    """Lines of the pages, with the page's number, then form values. A page without text gives a unit of kind image without text."""
+    if not data.lstrip()[:5].startswith(b"%PDF-"):
+        raise ValueError("not a PDF")
+    if re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", data):
+        raise ValueError("encrypted")
+    for number, text in enumerate(pdf_pages(data), 1):
+        if not text:
+            yield {"kind": "image", "sheet": str(number), "text": ""}
+        for line in text.split("\n") if text else ():
+            yield {"kind": "p", "sheet": str(number), "text": line}
+    for value in form_values(data):
+        yield {"kind": "field", "text": value}

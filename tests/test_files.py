@@ -5,7 +5,9 @@ import json
 import tarfile
 
 from quillspan.operators import diff, sequences
+from quillspan.plans.drawings import chosen_coding, frames_of_lines, unseen_fragments
 from quillspan.plans.files import built_file, zipped
+from quillspan.sources import carving, pdf
 from quillspan.sources.office import file_units, read_units
 from quillspan.streaming import journal
 
@@ -98,3 +100,60 @@ def test_journal_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.id, r.rawResultJson, r.done) for r in spark.table("latest").collect()] == [("a", "new", 3)]
+
+
+def test_pdf_pages_fonts_and_fields():
+    data = built_file("pdf", ["héllo wörld", "中文 text", "\U0001f600 x"] + ["z"] * 40)
+    units = list(file_units("x.pdf", data))
+    assert [u["text"] for u in units[:3]] == ["héllo wörld", "中文 text", "\U0001f600 x"]
+    assert {u["sheet"] for u in units} == {"1", "2"} and pdf.count_pages(data) == 2
+    more = data + b"90 0 obj\n<</FT/Tx/V(Some value)/DV <FEFF4E2D>>>\nendobj\n91 0 obj\n<</Title(A \\(b\\))>>\nendobj\n"
+    assert pdf.form_values(more) == ["Some value", "中"] and pdf.title(more) == "A (b)"
+    assert pdf.pdf_pages(built_file("pdf", [])) == [""] and [u["kind"] for u in file_units("x.pdf", built_file("pdf", []))] == ["image"]
+    assert [u["error"] for u in file_units("x.pdf", b"no")] == ["ValueError: not a PDF"]
+
+
+def test_pdf_operators_and_codings():
+    assert pdf.decoded_page(b"BT (A\\050b\\)) Tj [(x) -300 (y) 20 (z)] TJ T* (next (in) line) Tj ET", {}) == "A(b)x yz\nnext (in) line"
+    text = "这是一个中文的测试文本"
+    assert pdf.decoded_page(b"BT (" + text.encode("gbk").replace(b"\\", b"\\\\") + b") Tj ET", {}) == text
+    assert pdf.decoded_page(b"BT (caf\xe9) Tj ET", {}) == "café"
+    head = b"5 0 1 6 "
+    packed = b"%PDF-1.5\n2 0 obj\n<</Type/ObjStm/N 1/First 4>>stream\n7 0 <</Type/Page/Contents 3 0 R>>\nendstream\nendobj\n3 0 obj\n<<>>stream\nBT (in) Tj ET\nendstream\nendobj\n" + head
+    assert pdf.pdf_pages(packed) == ["in"]
+
+
+def test_carving():
+    text = "这是一个中文的测试文本"
+    assert carving.gbk_runs(b"\0\1\2" * 5 + text.encode("gbk") + bytes(9)) == [text]
+    assert carving.utf16_runs(bytes(4) + "中文字符串ab".encode("utf-16-le") + bytes(4)) == ["中文字符串ab"]
+    assert carving.latin_runs(b"\0\1Pump station\0zx12\0") == ["Pump station"]
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\0IHDR1234" + b"\0\0\0\0IEND1234"
+    assert carving.carved_images(b"??" + png + b"\xff\xd8\xff..\xff\xd9") == [("png", 2, len(png)), ("jpg", 2 + len(png), 7)]
+    assert carving.carved_images(png[:-3]) == []
+    assert carving.media_parts(zipped({"word/media/b.x": "GIF89a", "word/media/a.x": "?", "word/document.xml": "<d/>"})) == [("word/media/a.x", None, 1), ("word/media/b.x", "gif", 6)]
+
+
+def test_order_and_differences():
+    ops = [("EQ", 0, 0), ("INS", None, 1), ("DEL", 1, None), ("REP", 2, 2)]
+    assert diff.in_document_order(ops[::-1], 3, 3) == ops
+    assert diff.fused_opcodes(["a", "b"], ["a", "c"]) == [("equal", 0, 1, 0, 1), ("replace", 1, 2, 1, 2)]
+    for a, b in (("old word here", "new word"), ("", "x"), ("中文字", "中字"), ("w " * 3000 + "a", "w " * 2500 + "b " + "w " * 500)):
+        runs = diff.diff_runs(a, b)
+        assert "".join(x for _, x, _ in runs) == a and "".join(y for *_, y in runs) == b
+        assert all(x == y for same, x, y in runs if same)
+    assert diff.row_runs(["a", "b"], ["a"]) == [(0, True, "a", "a"), (1, False, "b", "")]
+    body = diff.tracked_paragraph(diff.diff_runs("a <x>", "a y\x01"), "me", "2020-01-01T00:00:00Z", 1)
+    assert '<w:delText xml:space="preserve">&lt;x&gt;</w:delText>' in body and ">y</w:t>" in body and body.count("w:id=") == 2
+
+
+def test_frames_of_lines(spark):
+    rows = [(1, True, y, x, x + 400) for y in (0, 300) for x in (0, 1000)] + [(1, False, x, 0, 300) for x in (0, 400, 1000, 1400)]
+    rows += [(1, False, 200, 0, 300), (2, True, 0, 0, 400), (2, True, 300, 0, 400), (2, False, 0, 0, 300)]
+    got = frames_of_lines(spark.createDataFrame(rows, "file int, flat boolean, place int, s int, e int")).collect()
+    assert sorted((r.file, r.x0, r.y0, r.x1, r.y1) for r in got) == [(1, 0, 0, 400, 300), (1, 1000, 0, 1400, 300)]
+
+
+def test_fragments_and_codings():
+    assert unseen_fragments("one two", ["two", "three", "th ree", "", "four"]) == ["three", "four"]
+    assert chosen_coding("中文".encode("gb18030")) == "GB18030" and chosen_coding("中文".encode()) == chosen_coding(b"") == "UTF-8"

@@ -27,6 +27,18 @@ def count_units(units: DataFrame, by: list[str], unit: str) -> DataFrame:
     return units.select(*by, *T.metrics(F.coalesce(F.col(unit), F.lit("")))).groupBy(*by).agg(*T.totals())
 
 
+def selected_units(units: DataFrame, sheet: str = "all", with_notes: bool = False) -> DataFrame:
+    """Units of files that count: neither failed nor hidden, notes only if asked for, and of workbooks all sheets, the first shown one, or that of a name."""
+    kept = units.where(F.col("ok") & (F.col("kind") == "note") & F.lit(with_notes) | F.col("ok") & ~F.coalesce(F.col("hidden"), F.lit(False)))
+    if sheet == "all":
+        return kept
+    cells = (F.col("kind") == "cell") & F.col("sheet").isNotNull()
+    if sheet == "first":
+        first = kept.where(cells).groupBy("path", "member").agg(F.min_by("sheet", "seq").alias("_first"))
+        return kept.join(first, ["path", "member"], "left").where(~cells | (F.col("sheet") == F.col("_first"))).drop("_first")
+    return kept.where(~cells | (F.col("sheet") == sheet))
+
+
 #: Ends of sentences in the two splitters. Fixed values.
 SHORT_ENDS, LONG_ENDS = "。！？；\n\r", "。！？；…\n\r.!?;:"
 

@@ -76,7 +76,7 @@ def _files(t: Tables, ext: str) -> DataFrame:
 
 def _counted(t: Tables, ext: str) -> DataFrame:
     """The metrics of the files' units: those of the documents' lines."""
-    units = units_of_files(_files(t, ext)).where("ok")
+    units = units_of_files(_files(t, ext)).where("ok and kind not in ('none', 'image')")
     return count_units(units.withColumn("doc_id", F.regexp_extract("path", r"^\d+", 0).cast("bigint")), ["doc_id"], "text")
 
 

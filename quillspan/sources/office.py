@@ -229,17 +229,18 @@ def file_units(path: str, data: bytes, member: str = "", depth: int = 0) -> Iter
 
 
 def units_of_files(files: DataFrame) -> DataFrame:
-    """Text units of a table with path and content, such as the binaryFile source gives."""
+    """Text units of a table with path and content, such as the binaryFile source gives; one of kind none for a file without any."""
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = list(file_units(path, content.as_py() or b""))
+                rows = list(file_units(path, content.as_py() or b"")) or [{"path": path, "member": "", "depth": 0, "ok": True, "kind": "none", "text": ""}]
                 yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in UNIT_FIELDS], schema=UNIT_FIELDS)
 
     return files.select("path", "content").mapInArrow(each, UNIT_SCHEMA)
 
 
 def read_units(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """Text units of all files below a folder, each file once."""
+    """Text units of all files below a folder. Contents are read where they are extracted, without a shuffle."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).load(folder)
-    return units_of_files(files.dropDuplicates(["path"]))
+    return units_of_files(files)

@@ -4,6 +4,7 @@ import io
 import json
 import tarfile
 
+from quillspan.__main__ import file_totals
 from quillspan.operators import diff, sequences
 from quillspan.plans.drawings import chosen_coding, frames_of_lines, unseen_fragments
 from quillspan.plans.files import built_file, zipped
@@ -157,3 +158,17 @@ def test_frames_of_lines(spark):
 def test_fragments_and_codings():
     assert unseen_fragments("one two", ["two", "three", "th ree", "", "four"]) == ["three", "four"]
     assert chosen_coding("中文".encode("gb18030")) == "GB18030" and chosen_coding("中文".encode()) == chosen_coding(b"") == "UTF-8"
+
+
+def test_totals_of_chosen_sheets_and_notes(spark, tmp_path):
+    book = "<w><sheets><sheet name='A'/><sheet name='H' state='hidden'/><sheet name='B'/></sheets></w>"
+    cell = "<s><c r='A1' t='inlineStr'><is><t>{}</t></is></c></s>"
+    (tmp_path / "a.xlsx").write_bytes(zipped({"xl/workbook.xml": book} | {f"xl/worksheets/sheet{k}.xml": cell.format(x) for k, x in enumerate(("one", "hidden", "two words"), 1)}))
+    slide = "<s xmlns:a='a'><a:p><a:t>{}</a:t></a:p></s>"
+    (tmp_path / "b.pptx").write_bytes(zipped({"ppt/slides/slide1.xml": slide.format("three"), "ppt/notesSlides/notesSlide1.xml": slide.format("a b c")}))
+    (tmp_path / "c.docx").write_bytes(b"broken")
+    (tmp_path / "d.txt").write_bytes(b"")
+    units = read_units(spark, str(tmp_path))
+    words = lambda *how: [r.words for r in file_totals(units, *how).orderBy("path").collect()]
+    assert words() == [3, 1, 0, 0] and words("first") == [1, 1, 0, 0] and words("B", True) == [2, 4, 0, 0]
+    assert [r.error is None for r in file_totals(units).orderBy("path").collect()] == [True, True, False, True]

@@ -229,7 +229,7 @@ def file_units(path: str, data: bytes, member: str = "", depth: int = 0) -> Iter
 
 
 def units_of_files(files: DataFrame) -> DataFrame:
-    """Text units of a table with path and content, such as the binaryFile source gives; one of kind none for a file without any."""
+    """Text units of a table with path and content, such as the binaryFile source gives; one of kind none for a file without any. Spark itself passes over files of no bytes."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -167,7 +167,7 @@ def test_totals_of_chosen_sheets_and_notes(spark, tmp_path):
     slide = "<s xmlns:a='a'><a:p><a:t>{}</a:t></a:p></s>"
     (tmp_path / "b.pptx").write_bytes(zipped({"ppt/slides/slide1.xml": slide.format("three"), "ppt/notesSlides/notesSlide1.xml": slide.format("a b c")}))
     (tmp_path / "c.docx").write_bytes(b"broken")
-    (tmp_path / "d.txt").write_bytes(b"")
+    (tmp_path / "d.txt").write_bytes(b"\n")
     units = read_units(spark, str(tmp_path))
     words = lambda *how: [r.words for r in file_totals(units, *how).orderBy("path").collect()]
     assert words() == [3, 1, 0, 0] and words("first") == [1, 1, 0, 0] and words("B", True) == [2, 4, 0, 0]

@@ -19,7 +19,7 @@ from quillspan.llm.toxicity import classify_toxicity
 def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The rows of docs whose id no verdict rejects; rows of one id share the strictest verdict. A row without id stays."""
     rejected = cut(verdicts.where("not kept and doc_id is not null").select("doc_id").distinct(), "rejected")
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(rejected, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,21 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+_GNU = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} Public License as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+_BSD = TEMPLATES[10][1] + " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+#: Notices and full texts that are looked for inside texts only; the SQL is made of TEMPLATES alone.
+MORE_TEMPLATES = [
+    ("GPL-2.0", _GNU.format("program", "General", "2")),
+    ("LGPL-3.0", _GNU.format("library", "Lesser General", "3")),
+    ("AGPL-3.0", _GNU.format("program", "Affero General", "3")),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("MIT", TEMPLATES[4][1] + " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", _BSD.format("")),
+    ("BSD-3-Clause", _BSD.format("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ")),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+]
 AROUND = "[^a-z0-9]+"
 #: Words that tell little; they stand for a bigram only where nothing else is in it.
 COMMON = set("a all an and any are as at be by can can't do for form from has have if in is it may not of on one or so that the this to use was which with work you".split())
@@ -60,14 +75,51 @@ def needed_words(templates: list[tuple[str, str]], least: float) -> list[str]:
     return sorted(out)
 
 
-def _bigrams(unit: Column) -> Column:
+def _bigrams(unit: Column, distinct: bool = True) -> Column:
     words = F.filter(F.split(F.regexp_replace(F.lower(unit), AROUND, " "), " "), lambda w: w != "")
     pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
     # a list of one binds the words, which would else be made again for each use
-    return F.transform(F.array(words), lambda w: F.when(F.size(w) > 1, F.array_distinct(pairs(w))).otherwise(F.array().cast("array<string>")))[0]
+    return F.transform(F.array(words), lambda w: F.when(F.size(w) > 1, F.array_distinct(pairs(w)) if distinct else pairs(w)).otherwise(F.array().cast("array<string>")))[0]
+
+
+def _best_run(g: Column, t: Column, least: float) -> Column:
+    """The run of a text's bigrams g that has most of a template's; null if none is similar. Each begins and ends with one of them."""
+
+    def among(h: Column) -> Column:
+        def run(j: Column) -> Column:
+            ends = F.filter(F.sequence(j + t["share"] - 1, F.least(F.size(h), j + t["longest"] - 1)), lambda k: h[k - 1] - h[j - 1] < t["longest"])
+            # repeats counted on both sides
+            end = F.array_max(F.transform(ends, lambda k: F.struct((2 * (k - j + 1) / (h[k - 1] - h[j - 1] + 1 + t["length"])).alias("d"), (-h[k - 1]).alias("to"))))
+            part = F.array_distinct(F.slice(g, h[j - 1], 1 - end["to"] - h[j - 1]))
+            return F.transform(F.array(part), lambda p: F.transform(F.array(F.size(F.array_intersect(p, t["grams"]))), lambda c: F.struct(c.alias("common"), (2 * c / (F.size(p) + t["n"])).alias("dice"), (-t["k"]).alias("k"), t["name"].alias("name")))[0])[0]
+
+        dense = F.filter(F.sequence(F.lit(1), F.size(h) - t["share"] + 1), lambda j: h[j + t["share"] - 2] - h[j - 1] < t["longest"])
+        return F.array_max(F.filter(F.transform(dense, run), lambda e: e["dice"] >= least))
+
+    places = F.filter(F.sequence(F.lit(1), F.size(g)), lambda i: F.array_contains(t["grams"], g[i - 1]))
+    return F.transform(F.array(places), among)[0]
+
 
+def _inside(text: Column, templates: list[tuple[str, str]], least: float) -> Column:
+    """The best run of a text's words, over line ends and inside lines; null if none is similar to a template."""
+    rows = []
+    for k, (name, words) in enumerate(templates):
+        grams, length = bigrams_of(words), len(words_of(words)) - 1
+        share, longest = math.ceil(round(least * len(grams) / (2 - least), 9)), math.floor(round((2 - least) * length / least, 9))
+        rows.append(F.struct(F.lit(k).alias("k"), F.lit(name).alias("name"), F.lit(len(grams)).alias("n"), F.lit(length).alias("length"), F.lit(share).alias("share"), F.lit(longest).alias("longest"), F.array(*map(F.lit, grams)).alias("grams")))
 
-def scan_licenses(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, least: float = 0.7) -> DataFrame:
+    def best(g: Column) -> Column:
+        near = F.filter(F.array(*rows), lambda t: F.size(F.array_intersect(g, t["grams"])) >= t["share"])
+        return F.array_max(F.filter(F.transform(near, lambda t: _best_run(g, t, least)), lambda e: e.isNotNull()))
+
+    return F.when(text.rlike(_probe(templates, least)), F.transform(F.array(_bigrams(text, distinct=False)), best)[0])
+
+
+def _probe(templates: list[tuple[str, str]], least: float) -> str:
+    return r"(?i)(?<![a-z0-9])(?:" + "|".join(needed_words(templates, least)) + r")(?![a-z0-9])"
+
+
+def scan_licenses(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, inside: list[tuple[str, str]] = MORE_TEMPLATES, least: float = 0.7) -> DataFrame:
     """The best licence template for each row: doc_id, license, dice, unit and n_units.
 
     Units are the whole text (0) and, if there are several, each of its lines (from 1). Lower-cased words of a-z and 0-9
@@ -77,13 +129,19 @@ def scan_licenses(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     template; n_units is how many units have one. Only texts that hold a word that each similar one must have are
     compared, and only such units of them.
 
+    Runs of the whole text's words are compared with templates and inside too, over line ends and within lines: of the
+    runs that begin and end with bigrams of a template and are at most (2 - least) / least times as long, for each
+    beginning the one whose end gives the greatest coefficient with repeats counted. Of those similar by their sets the
+    one with most common bigrams is taken, then that of the greatest coefficient, then of the first template. It counts
+    where its coefficient is greater than the units'; unit is 0 then, and n_units still of units alone.
+
     A null or empty text, and one with no similar template, has license and dice null, unit -1 and n_units 0. Rows that
     repeat are judged alike. An empty table gives an empty table. Other columns are not read. No shuffle, no Python; the
     templates are a literal of a few kilobytes.
     """
     grams = [(name, bigrams_of(text)) for name, text in templates]
     listed = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(name).alias("name"), F.lit(len(g)).alias("n"), F.array(*map(F.lit, g)).alias("grams")) for k, (name, g) in enumerate(grams)])
-    probe = r"(?i)(?<![a-z0-9])(?:" + "|".join(needed_words(templates, least)) + r")(?![a-z0-9])"
+    probe = _probe(templates, least)
     text = F.col("text")
     lines = F.split(text, "\n", -1)
     units = F.concat(F.array(text), F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>")))
@@ -97,9 +155,12 @@ def scan_licenses(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
         return F.array_max(F.filter(each, lambda e: e["dice"] >= least))
 
     found = F.when(text.rlike(probe), F.filter(F.transform(with_grams, best), lambda e: e.isNotNull())).otherwise(F.array().cast("array<struct<dice:double,i:int,k:int,name:string>>"))
-    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", F.coalesce(found, F.array()).alias("found"))
-    top = F.array_max("found")
-    return rows.select("doc_id", top["name"].alias("license"), top["dice"].alias("dice"), F.coalesce(-top["i"], F.lit(-1)).alias("unit"), F.size("found").alias("n_units"))
+    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", "text", F.coalesce(found, F.array()).alias("found"))
+    rows = rows.select("doc_id", "found", _inside(text, [*templates, *inside], least).alias("part"))
+    top, part = F.array_max("found"), F.col("part")
+    rows = rows.select("doc_id", "found", top.alias("top"), F.when(top.isNull() | (part["dice"] > top["dice"]), part).alias("part"))
+    unit = F.when(F.col("part").isNotNull(), 0).otherwise(F.coalesce(-F.col("top.i"), F.lit(-1)))
+    return rows.select("doc_id", F.coalesce("part.name", "top.name").alias("license"), F.coalesce("part.dice", "top.dice").alias("dice"), unit.alias("unit"), F.size("found").alias("n_units"))
 
 
 def scan_sql(templates: list[tuple[str, str]] = TEMPLATES, least: float = 0.7) -> str:

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import textwrap
 import zlib
 from array import array
 from collections import Counter
@@ -174,6 +175,23 @@ def test_queries_as_sql(name, same):
     same(queries.queries()[name], queries.oracle_sql()[name])
 
 
+def test_notices_inside_texts(spark):
+    wrap = lambda k, n=40: "\n".join(textwrap.wrap((licenses.TEMPLATES + licenses.MORE_TEMPLATES)[k][1], n))
+    other = "".join(f"Line {k} of the first ones tells of rivers {k * k} and of boats.\n" for k in range(60))
+    texts = {f"{name} {k}": other + wrap(k) + "\n\n" + other for k, (name, text) in enumerate(licenses.TEMPLATES + licenses.MORE_TEMPLATES)}
+    texts["MIT inline"] = "The whole of the set of tools in this folder was made in spring. Released under the MIT License."
+    texts["MIT full"] = "Copyright (c) 2020 Some One\n\n" + wrap(26)
+    texts["MIT edited"] = other + wrap(4, 40).replace("hereby", "now hereby") + "\n" + other
+    texts["None a"] = other + "The public library has a copy of the source, found under version 2 of the licensed list."
+    texts["None b"] = "the MIT of " * 400 + "license"
+    names = list(texts)
+    got = {names[r.doc_id]: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts.values())), "doc_id bigint, text string")).collect()}
+    for name, r in got.items():
+        assert (r.license or "None") == name.split()[0], (name, r)
+    assert got["MIT 4"].dice == got["MIT inline"].dice == 1 and got["MIT inline"].unit == got["MIT inline"].n_units == 0
+    assert 0.9 < got["MIT edited"].dice < 1
+
+
 def test_maximal_chats_by_brute_force(spark):
     rng = random.Random(4)
     chats = {i: [rng.choice("ab") for _ in range(rng.randint(1, 4))] for i in range(60)}

@@ -72,6 +72,17 @@ def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def later_copies(words: np.ndarray, doc: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Those of the rising positions at whose n words, all of one text, stand at an earlier one of them in that text."""
+    most = int(words.max(initial=0)) + 1
+    _, same = np.unique(doc[at].astype(np.int64), return_inverse=True)
+    for d in range(n):
+        _, first, same = np.unique(same * most + words[at + d], return_index=True, return_inverse=True)
+    later = np.ones(len(at), bool)
+    later[first] = False
+    return at[later]
+
+
 def maximal_spans(text: str, min_words: int) -> list[tuple[int, int]]:
     """The union of the repeated substrings of min_words words or more, as word spans [start, end)."""
     ids: dict[bytes, int] = {}
@@ -105,6 +116,8 @@ def _measured(texts: list[str | None], min_words: int) -> dict[str, np.ndarray]:
     third, found = np.flatnonzero(longest >= 3), np.flatnonzero(longest >= min_words)
     in_windows = covered(third, np.full(len(third), 3), len(words))
     in_spans = covered(found, longest[found], len(words))
+    later = later_copies(words, doc, found, min_words)
+    in_copies = covered(later, np.full(len(later), min_words), len(words))
     top = np.zeros(len(texts), np.int64)
     np.maximum.at(top, doc, longest)
     return {
@@ -114,6 +127,7 @@ def _measured(texts: list[str | None], min_words: int) -> dict[str, np.ndarray]:
         "n_dup_lines": np.array([_line_copies(t) for t in texts], np.int64),
         "n_repeat_words": np.bincount(doc[in_windows], minlength=len(texts)).astype(np.int64),
         "n_span_words": np.bincount(doc[in_spans], minlength=len(texts)).astype(np.int64),
+        "n_copied_words": np.bincount(doc[in_copies], minlength=len(texts)).astype(np.int64),
         "longest_repeat": top,
     }
 
@@ -138,22 +152,27 @@ def repetition_rules(
     min_words: int = 8,
     max_fraction: float = 0.45,
     max_longest: int = 100,
+    max_copied: float = 0.12,
     least_words: int = 50,
 ) -> DataFrame:
     """Rules on the quality of whole texts, with repeated substrings from a suffix array of each text's words.
 
     A word is a run of characters other than ASCII white space. One row for each row, with its id, n_words, word_chars,
     n_symbols, n_dup_lines, n_repeat_words, n_span_words (words in the union of repeated substrings of min_words words
-    or more), longest_repeat (words), base_failed and kept. kept is false if base_failed, if that union covers more than
-    max_fraction of the words, or if the longest repeat has more than max_longest words.
+    or more), n_copied_words (words in the union of runs of min_words words that stand earlier in the text too, so without
+    first copies), longest_repeat (words), base_failed and kept. kept is false if base_failed, if the repeated substrings
+    cover more than max_fraction of the words or the later copies more than max_copied, or if the longest repeat has more
+    than max_longest words. 0.12 is the limit for duplicate 8-grams of Rae et al. (2021, Gopher, table A1), who count
+    characters.
 
     A null or empty text has zero everywhere and fails. Rows with the same id or text are judged alike, each for itself.
     An empty table gives an empty table. Other columns are not read. No shuffle; a task holds one Arrow batch and the
     suffixes of some 150,000 words, or of one longer text.
     """
     short_batches(documents.sparkSession)
-    schema = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_span_words bigint, longest_repeat bigint"
+    schema = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_span_words bigint, n_copied_words bigint, longest_repeat bigint"
     found = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda it: _in_chunks(it, min_words), schema)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     fine = (F.col("n_span_words") <= max_fraction * F.col("n_words")) & (F.col("longest_repeat") <= max_longest)
+    fine = fine & (F.col("n_copied_words") <= max_copied * F.col("n_words"))
     return found.withColumn("base_failed", failed).withColumn("kept", ~failed & fine)

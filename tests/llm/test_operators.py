@@ -170,6 +170,26 @@ def test_base_figures():
     assert (got["n_words"][0], got["word_chars"][0], got["n_symbols"][0], got["n_dup_lines"][0]) == (6, 20, 2, 2)
 
 
+def test_later_copies_as_brute_force():
+    rng = random.Random(5)
+    for _ in range(60):
+        texts = [[rng.choice("abc") for _ in range(rng.randint(0, 40))] for _ in range(4)]
+        got = repetition._measured([" ".join(t) for t in texts], 4)
+        for k, w in enumerate(texts):
+            later = [i for i in range(len(w) - 3) if any(w[j : j + 4] == w[i : i + 4] for j in range(i))]
+            assert got["n_copied_words"][k] == len({i + d for i in later for d in range(4)})
+
+
+def test_copies_decide_where_base_rules_pass(spark):
+    fresh = iter(range(10**6))
+    new = lambda n: " ".join(f"w{next(fresh)}" for _ in range(n))
+    line, passage = new(10), new(80)
+    texts = ["\n".join([*[line] * 40, new(600)]), "\n".join(f"{passage} {new(320)}" for _ in range(12)), "\n".join([line, new(400), line, new(400)])]
+    rows = repetition.repetition_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [(r.base_failed, r.kept, r.n_copied_words) for r in rows] == [(False, False, 390), (False, False, 880), (False, True, 10)]
+    assert all(r.n_span_words <= 0.45 * r.n_words for r in rows)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_as_sql(name, same):
     same(queries.queries()[name], queries.oracle_sql()[name])

@@ -184,24 +184,25 @@ def _unsafe(name: str) -> bool:
     return name.startswith(("/", "\\")) or ".." in parts or bool(re.match("[A-Za-z]:", name))
 
 
-def members(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
-    """Names and bytes of an archive's files. Members that would leave the archive's folder, or are too large, are left out."""
+def members(name: str, data: bytes) -> Iterator[tuple[str, bytes | None]]:
+    """Names and bytes of an archive's files, no bytes for one that is too large. Members that would leave the archive's folder are left out."""
     low = name.lower()
     if low.endswith(".zip"):
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for info in z.infolist():
                 inner = _repaired(info)
-                if not info.is_dir() and not _unsafe(inner) and info.file_size <= MOST_BYTES:
-                    yield inner, z.read(info)
+                if not info.is_dir() and not _unsafe(inner):
+                    yield inner, z.read(info) if info.file_size <= MOST_BYTES else None
     elif re.search(r"\.(tar|tar\.gz|tgz|tar\.bz2|tbz2|tar\.xz|txz)$", low):
         with tarfile.open(fileobj=io.BytesIO(data)) as t:
             for info in t:
-                if info.isfile() and not _unsafe(info.name) and info.size <= MOST_BYTES:
-                    yield info.name, t.extractfile(info).read()
+                if info.isfile() and not _unsafe(info.name):
+                    yield info.name, t.extractfile(info).read() if info.size <= MOST_BYTES else None
     else:
         read = {"gz": gzip.open, "bz2": bz2.open, "xz": lzma.open}[low.rpartition(".")[2]]
         with read(io.BytesIO(data)) as f:
-            yield name.rpartition(".")[0].rpartition("/")[2], f.read(MOST_BYTES)
+            body = f.read(MOST_BYTES + 1)
+            yield name.rpartition(".")[0].rpartition("/")[2], body if len(body) <= MOST_BYTES else None
 
 
 def is_archive(name: str) -> bool:
@@ -217,7 +218,11 @@ def file_units(path: str, data: bytes, member: str = "", depth: int = 0) -> Iter
             if depth >= MOST_DEPTH:
                 raise ValueError("nested too deeply")
             for inner, body in members(name, data):
-                yield from file_units(path, body, f"{member}/{inner}".lstrip("/"), depth + 1)
+                within = f"{member}/{inner}".lstrip("/")
+                if body is None:
+                    yield base | {"member": within, "depth": depth + 1, "ok": False, "error": f"ValueError: larger than {MOST_BYTES} bytes"}
+                else:
+                    yield from file_units(path, body, within, depth + 1)
             return
         extract = EXTRACTORS.get(name.lower().rpartition(".")[2])
         if extract is None:

@@ -1,14 +1,17 @@
 """Sources, alignment and the journal on small files made here."""
 
+import bz2
+import gzip
 import io
 import json
+import lzma
 import tarfile
 
 from quillspan.__main__ import file_totals
 from quillspan.operators import diff, sequences
 from quillspan.plans.drawings import chosen_coding, frames_of_lines, unseen_fragments
 from quillspan.plans.files import built_file, zipped
-from quillspan.sources import carving, pdf
+from quillspan.sources import carving, office, pdf
 from quillspan.sources.office import file_units, read_units
 from quillspan.streaming import journal
 
@@ -66,6 +69,20 @@ def test_archives_inside_archives():
     assert [u["ok"] for u in file_units("x.docx", b"broken")] == [False]
 
 
+def test_too_large_members_give_errors(monkeypatch):
+    monkeypatch.setattr(office, "MOST_BYTES", 8)
+    tar = io.BytesIO()
+    with tarfile.open(fileobj=tar, mode="w") as t:
+        for name, size in (("big.txt", 9), ("a.txt", 8)):
+            info = tarfile.TarInfo(name)
+            info.size = size
+            t.addfile(info, io.BytesIO(b"x" * size))
+    for name, data in (("x.zip", zipped({"big.txt": "x" * 9, "a.txt": "x" * 8})), ("x.tar", tar.getvalue())):
+        assert [(u["member"], u["ok"], u.get("error")) for u in file_units(name, data)] == [("big.txt", False, "ValueError: larger than 8 bytes"), ("a.txt", True, None)]
+    for pack, ext in ((gzip, "gz"), (bz2, "bz2"), (lzma, "xz")):
+        assert [(u["member"], u["ok"]) for size in (8, 9) for u in file_units(f"a.txt.{ext}", pack.compress(b"x" * size))] == [("a.txt", True), ("a.txt", False)]
+
+
 def test_read_units(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "a.txt").write_text("one\n two \n")

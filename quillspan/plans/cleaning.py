@@ -146,8 +146,9 @@ COMMON_HAN = "的一是在不了有和人这中大为上个国我以要他时来
 
 @query(f"SELECT doc_id, cjk >= 8 AND cjk / greatest(n, 1) >= 0.7 AND common >= 2 AS real_cjk FROM (SELECT doc_id, length(x) AS n, {T.count_sql('x', '[\\x{4E00}-\\x{9FFF}]')} AS cjk, {T.count_sql('x', f'[{COMMON_HAN}]')} AS common FROM (SELECT doc_id, substring(regexp_replace(translate(text, 'aeioutrs', CASE WHEN doc_id % 2 = 0 THEN '中文字数统的是在' ELSE '鎌芁哅皜鎌芁哅皜' END), CASE WHEN doc_id % 3 = 0 THEN '[ -~]' ELSE '~' END, '', 'g'), 1, 60) AS x FROM documents))")
 def d10_real_han(t: Tables) -> DataFrame:
+    """Whole texts are judged; the SQL judges their first 60 characters."""
     swapped = F.when(F.col("doc_id") % 2 == 0, F.translate("text", "aeioutrs", "中文字数统的是在")).otherwise(F.translate("text", "aeioutrs", "鎌芁哅皜鎌芁哅皜"))
-    x = F.substring(F.when(F.col("doc_id") % 3 == 0, F.regexp_replace(swapped, "[ -~]", "")).otherwise(F.regexp_replace(swapped, "~", "")), 1, 60)
+    x = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace(swapped, "[ -~]", "")).otherwise(F.regexp_replace(swapped, "~", ""))
     n, cjk, common = F.length("x"), T.count_of(F.col("x"), r"[\x{4E00}-\x{9FFF}]"), T.count_of(F.col("x"), f"[{COMMON_HAN}]")
     return t.documents.select("doc_id", x.alias("x")).select("doc_id", ((cjk >= 8) & (cjk / F.greatest(n, F.lit(1)) >= 0.7) & (common >= 2)).alias("real_cjk"))
 

@@ -30,3 +30,10 @@ def test_metric_contract(spark):
     got = rows.select("i", *T.metrics(rows["s"])).orderBy("i").collect()
     assert [(r.fe, r.nc, r.chars) for r in got] == [g[1:] for g in GOLDEN]
     assert all(r.words == r.fe + r.nc for r in got)
+
+
+def test_real_han_reads_whole_texts(spark, tmp_path):
+    texts = [(6, "é" * 60 + "aeioutrs" * 50), (12, "aeioutrs" * 8 + "é" * 100), (18, "aeioutrs" * 8)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.QUERIES["d10_real_han"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r.real_cjk for r in got] == [True, False, True]

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.components import connected_components
@@ -18,18 +18,22 @@ from quillspan.llm.scratch import cut, short_batches
 COORDINATES = 64
 #: At most so many coordinate values are called frequent: those that every 1 / FREQUENT of all postings or more hold.
 FREQUENT = 100_000
-#: Postings of one value up to which its documents are compared pair by pair; more are compared in blocks of so many shingles.
-SHORT_LIST, BLOCK = 128, 1 << 21
-#: Documents of families up to which the table of them, some 40 bytes each, is broadcast.
-FEW = 200_000
+#: Postings of one value up to which its documents are compared pair by pair. Longer lists are compared with PIVOTS of their documents first.
+SHORT_LIST, PIVOTS = 128, 4
+#: Documents and shingles of one block of a large group: what one task compares with another block.
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 18
+#: Stands for a root where a block holds documents of several roots.
+SHARED = -(1 << 62)
+#: Rows of small tables, some 40 to 400 bytes each, up to which they are broadcast.
+FEW = 20_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def least_matches(percent: int) -> int:
-    """How many coordinates must agree. Each of a link's does with a chance of percent / 100 or more, so that fewer than five deviations below the mean do about once in a million links of that similarity."""
+def least_matches(percent: int, deviations: float = 5) -> int:
+    """How many coordinates must agree. Each of a link's does with a chance of percent / 100 or more, so that fewer than five deviations below the mean do about once in a million links of that similarity, and fewer than eight below it less than once in 10 ** 14."""
     p = percent / 100
-    return max(1, int(COORDINATES * p - 5 * (COORDINATES * p * (1 - p)) ** 0.5))
+    return max(1, int(COORDINATES * p - deviations * (COORDINATES * p * (1 - p)) ** 0.5))
 
 
 class WordHashes(dict):
@@ -116,36 +120,101 @@ def _postings(batches: Iterator[pa.RecordBatch], frequent, matches: int) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(first.ravel()), pa.array(doc), pa.array(n)], ["value", "doc", "n"])
 
 
-def linked_in_block(docs: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join the documents at the places left with those at the places right into as few components as all links between them do; each pair's sets are intersected through lists of the right ones' members, unless both are joined already."""
-    root = list(range(len(docs)))
+def spanning_links(docs: np.ndarray, left: np.ndarray, right: np.ndarray, part: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links between places left and right that join their parts as all links between them do. near(i, places) says which places are linked with i; it is asked only for places of other parts."""
+    part, out = part.copy(), []
+    for i in left.tolist():
+        others = right[part[right] != part[i]]
+        if len(others):
+            hit = others[near(i, others)]
+            parts, at = np.unique(part[hit], return_index=True)
+            out += [(int(docs[i]), int(docs[j])) for j in hit[at]]
+            if len(parts):
+                part[np.isin(part, parts)] = part[i]
+    return out
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
 
+def _by_sets(sets: list[np.ndarray], right: np.ndarray, percent: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Decides on full sets, through lists of the right ones' members."""
     size = np.array([len(s) for s in sets], np.int64)
     members = np.concatenate([sets[j] for j in right]) if len(right) else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(right)), size[right])
+    owner = np.repeat(right, size[right])
     order = np.argsort(members, kind="stable")
     members, owner = members[order], owner[order]
-    out = []
-    for i in left:
-        a, b = np.searchsorted(members, sets[i], "left"), np.searchsorted(members, sets[i], "right")
-        length = b - a
+
+    def near(i: int, places: np.ndarray) -> np.ndarray:
+        a, length = np.searchsorted(members, sets[i], "left"), np.searchsorted(members, sets[i], "right")
+        length -= a
         spans = np.repeat(a - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
-        common = np.bincount(owner[spans], minlength=len(right))
-        for j in right[100 * common >= percent * (size[i] + size[right] - common)].tolist():
-            x, y = find(int(i)), find(j)
-            if x != y:
-                root[x] = y
-                out.append((int(docs[i]), int(docs[j])))
-    return out
+        common = np.bincount(owner[spans], minlength=len(sets))[places]
+        return 100 * common >= percent * (size[i] + size[places] - common)
+
+    return near
+
+
+def _by_folds(folds: np.ndarray, size: np.ndarray, percent: int, matches: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Decides whether enough coordinates agree and sizes allow a link."""
+
+    def near(i: int, places: np.ndarray) -> np.ndarray:
+        fits = (100 * size[places] >= percent * size[i]) & (100 * size[i] >= percent * size[places])
+        return fits & ((folds[places] == folds[i]).sum(1) >= matches)
+
+    return near
+
+
+def linked_in_block(docs: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, part: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join the documents at the places left with those at the places right into as few components as all links between them do, given the parts they are joined in already."""
+    return spanning_links(docs, left, right, np.arange(len(docs)) if part is None else part, _by_sets(sets, right, percent))
+
+
+def _blocks(rows: Column, shingles: Column) -> Column:
+    return F.least(rows, F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(shingles / BLOCK_SHINGLES)))
 
 
-def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, seed: int = 5) -> DataFrame:
+def _small(df: DataFrame) -> DataFrame:
+    """A stored table, for a broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def _crossings(rows: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """How to compare documents that are in one group, but not joined yet. rows, a stored table: grp, doc, n and root.
+
+    A root with half a block of documents or more has blocks of its own; the other roots of a group share blocks. Gives
+    the rows of groups with several roots with their block (own, which is the root or SHARED, and at), and the pairs of
+    blocks of one group, all but those of one root. None if there is no such group.
+    """
+    roots = cut(rows.groupBy("grp", "root").agg(F.count("*").alias("r"), F.sum("n").alias("w")), "roots")
+    large = (F.col("r") >= BLOCK_ROWS // 2) | (F.col("w") >= BLOCK_SHINGLES // 2)
+    several = roots.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
+    pools = cut(roots.where(~large).groupBy("grp").agg(_blocks(F.sum("r"), F.sum("w")).alias("pool")).join(several, "grp", "right"), "pools")
+    if pools.isEmpty():
+        return None
+    own = cut(roots.where(large).select("grp", "root", _blocks(F.col("r"), F.col("w")).alias("parts")), "own")
+    placed = rows.join(_small(pools), "grp").join(_small(own), ["grp", "root"], "left")
+    at = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc"), F.col("parts"))).otherwise(F.pmod(F.xxhash64("root"), F.col("pool")))
+    placed = cut(placed.select("grp", "doc", "root", F.when(F.col("parts").isNotNull(), F.col("root")).otherwise(SHARED).alias("own"), at.alias("at")), "cells")
+    x = placed.select("grp", F.col("own").alias("x_own"), F.col("at").alias("x_at")).distinct()
+    y = x.select("grp", F.col("x_own").alias("y_own"), F.col("x_at").alias("y_at"))
+    return placed, x.join(y, "grp").where(f"struct(x_own, x_at) <= struct(y_own, y_at) and (x_own <> y_own or x_own = {SHARED})")
+
+
+def _compared(placed: DataFrame, pairs: DataFrame, decide) -> DataFrame:
+    """Links (a, b) between the documents of each pair of blocks. placed has what decide needs; it gets the rows of a pair, the places of each side, and the parts."""
+    key = ["grp", "x_own", "x_at", "y_own", "y_at"]
+    pairs = cut(pairs, "pairs")
+    sides = pairs.select(*key, F.col("x_own").alias("own"), F.col("x_at").alias("at"), F.lit(True).alias("first"))
+    sides = sides.unionByName(pairs.where("x_own <> y_own or x_at <> y_at").select(*key, F.col("y_own").alias("own"), F.col("y_at").alias("at"), F.lit(False).alias("first")))
+
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows["first"].to_numpy()
+        left, right = np.flatnonzero(first), np.flatnonzero(~first)
+        _, part = np.unique(rows["root"].to_numpy(), return_inverse=True)
+        return pd.DataFrame(decide(rows, left, right if len(right) else left, part), columns=["a", "b"], dtype="int64")
+
+    return placed.join(sides, ["grp", "own", "at"]).drop("own", "at").groupBy(*key).applyInPandas(each, "a bigint, b bigint")
+
+
+def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, deviations: float = 5, seed: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row.
 
     Documents are linked if 100 * intersection >= percent * union of their sets of distinct shingles of width words
@@ -154,8 +223,15 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
 
     Texts with one set become one class. Each class posts its signature's values under their coordinates, but only the
     prefix in the order of frequency that classes with enough equal coordinates must share, so that very frequent values
-    are skipped. Pairs from short lists whose signatures agree often enough, and all of a long list, join families; in a
-    family every pair is decided on full sets, by blocks of two million shingles, and each block gives no more links than documents.
+    are skipped. Pairs from short lists join families if their signatures agree often enough. A long list is compared
+    with four of its classes, and then only classes that are not joined yet, block by block, by the same count of equal
+    coordinates. In a family full sets decide: within blocks of some 512 documents that four of the family's documents
+    are added to, and then between blocks, where documents that are joined already are passed over. So a family of
+    near copies costs in proportion to its size; only documents that agree in as many coordinates, but aren't linked,
+    are compared pair by pair, spread over pairs of blocks.
+
+    A link of exactly the required similarity lacks enough equal coordinates about once in a million; with more
+    deviations below the mean it is rarer, down to any chance, and there are more candidates.
 
     A null text, or one without words, is linked with nothing; neither is a row with null id, whose component is null
     and which is kept. Rows with one id count as one document. An empty table gives an empty table. Other columns are
@@ -163,7 +239,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     """
     spark = documents.sparkSession
     short_batches(spark)
-    matches = least_matches(percent)
+    matches = least_matches(percent, deviations)
     texts = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     features = cut(texts.mapInArrow(lambda it: _features(it, width, seed), "doc_id bigint, n_shingles bigint, print binary, sign binary, fold binary"), "features")
     classes = features.where("print is not null and doc_id is not null").groupBy("print").agg(F.min(F.struct("doc_id", "n_shingles", "sign", "fold")).alias("c"))
@@ -173,32 +249,55 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     found = classes.select("sign").mapInArrow(_all_values, "value bigint").groupBy("value").count().where(F.col("count") >= least).toPandas().sort_values("value")
     frequent = spark.sparkContext.broadcast((found["value"].to_numpy(np.int64), found["count"].to_numpy(np.int64)))
     posted = cut(classes.select("doc", "n", "sign").mapInArrow(lambda it: _postings(it, frequent, matches), "value bigint, doc bigint, n bigint"), "postings")
-    lists = cut(posted.groupBy("value").agg(F.count("*").alias("m"), F.min("doc").alias("first")).where("m > 1"), "lists")
-    short = posted.join(lists.where(F.col("m") <= SHORT_LIST).select("value"), "value")
-    long = posted.join(lists.where(F.col("m") > SHORT_LIST), "value").where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b"))
-    short = cut(short, "short")
+    hubs = [F.min(F.struct(F.xxhash64("doc", F.lit(k)), "doc"))["doc"].alias(f"p{k}") for k in range(PIVOTS)]
+    lists = cut(posted.groupBy("value").agg(F.count("*").alias("m"), *hubs).where("m > 1"), "lists")
+    short = cut(posted.join(lists.where(F.col("m") <= SHORT_LIST).select("value"), "value"), "short")
     fits = f"x.doc < y.doc and 100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n"
     pairs = short.alias("x").join(short.alias("y"), F.expr(f"x.value = y.value and {fits}")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-    folds = classes.select("doc", "fold")
+    folds = classes.select("doc", "n", "fold")
     both = cut(pairs, "pairs").join(folds.select(F.col("doc").alias("a"), F.col("fold").alias("fold_a")), "a").join(folds.select(F.col("doc").alias("b"), F.col("fold").alias("fold_b")), "b")
     alike = both.mapInArrow(lambda it: _agreeing(it, matches), "a bigint, b bigint")
-    families = cut(connected_components(alike.unionByName(long)).join(classes.select(F.col("doc").alias("node"), "n"), "node"), "families")
-
-    sizes = families.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-    placed = families.join(cut(sizes, "sizes"), "root").select(F.col("node").alias("doc_id"), F.col("root").alias("family"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")).distinct()
-    placed = cut(placed, "placed")
-    sets = texts.join(F.broadcast(placed) if placed.count() <= FEW else placed, "doc_id").select("doc_id", "text", "family", "block", "blocks")
-    sets = sets.mapInArrow(lambda it: _sets(it, width), "doc_id bigint, hashes binary, family bigint, block bigint, blocks bigint")
-    joined = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other")
-
-    def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        docs, block = rows["doc_id"].to_numpy(), rows["block"].to_numpy()
-        held = [np.frombuffer(x, np.uint64) for x in rows["hashes"]]
-        lo, hi = np.flatnonzero(block == rows["lo"].iloc[0]), np.flatnonzero(block == rows["hi"].iloc[0])
-        return pd.DataFrame(linked_in_block(docs, held, lo, hi, percent), columns=["a", "b"], dtype="int64")
-
-    links = joined.groupBy("family", "lo", "hi").applyInPandas(decide, "a bigint, b bigint")
-    roots = connected_components(links)
+
+    def by_folds(rows: pd.DataFrame, left: np.ndarray, right: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
+        return spanning_links(rows["doc"].to_numpy(), left, right, part, _by_folds(_as_folds(rows["fold"]), rows["n"].to_numpy(), percent, matches))
+
+    long = cut(lists.where(F.col("m") > SHORT_LIST).drop("m"), "long")
+    some_long = not long.isEmpty()
+    if some_long:
+        at_pivots = long.select("value", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("doc")).join(folds, "doc").groupBy("value").agg(F.collect_list(F.struct("doc", "n", "fold")).alias("pivots"))
+        at_pivots = cut(at_pivots, "pivots")
+        held = cut(posted.drop("n").join(_small(long.select("value")), "value").join(folds, "doc").select("value", "doc", "n", "fold"), "held")
+        alike = alike.unionByName(held.join(_small(at_pivots), "value").select("doc", "n", "fold", "pivots").mapInArrow(lambda it: _near_pivots(it, percent, matches), "a bigint, b bigint").distinct())
+    families = cut(connected_components(alike), "alike")
+    if some_long:
+        families = _joined_over(families, held.select(F.col("value").alias("grp"), "doc", "n"), lambda placed: placed.join(folds, "doc"), by_folds)
+    families = families.join(classes.select(F.col("doc").alias("node"), "n"), "node")
+    families = cut(families.select(F.col("root").alias("grp"), F.col("node").alias("doc"), "n"), "families")
+
+    def with_sets(placed: DataFrame) -> DataFrame:
+        found = texts.join(_small(placed), texts["doc_id"] == placed["doc"]).select("doc_id", "text", *placed.columns)
+        columns = [c for c in placed.columns if c != "doc"]
+        kinds = ", ".join(f"{c} {dict(placed.dtypes)[c]}" for c in columns)
+        # rows of one id are alike here, and one of them is enough
+        return found.drop("doc").mapInArrow(lambda it: _sets(it, width), f"doc bigint, hashes binary, {kinds}")
+
+    def by_sets(rows: pd.DataFrame, left: np.ndarray, right: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
+        return linked_in_block(rows["doc"].to_numpy(), [np.frombuffer(x, np.uint64) for x in rows["hashes"]], left, right, percent, part)
+
+    def within(rows: pd.DataFrame) -> pd.DataFrame:
+        all_of = np.arange(len(rows))
+        return pd.DataFrame(by_sets(rows, all_of, all_of, all_of), columns=["a", "b"], dtype="int64")
+
+    sizes = cut(families.groupBy("grp").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"), *hubs), "sizes")
+    pivot = F.array_contains(F.array(*[f"p{k}" for k in range(PIVOTS)]), F.col("doc"))
+    placed = families.join(_small(sizes), "grp").select("doc", "grp", "blocks", pivot.alias("pivot"))
+    sets = with_sets(cut(placed, "placed"))
+    dealt = F.when(F.col("pivot"), F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("blocks"))))
+    inside = sets.withColumn("block", F.explode(dealt)).drop("pivot", "blocks").groupBy("grp", "block").applyInPandas(within, "a bigint, b bigint")
+    roots = cut(connected_components(inside), "inside")
+    split = sizes.where("blocks > 1").select("grp")
+    if not split.isEmpty():
+        roots = _joined_over(roots, families.join(_small(cut(split, "split")), "grp"), with_sets, by_sets)
     named = cut(classes.select("print", "doc").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("print", F.coalesce("root", "doc").alias("root")), "named")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     out = features.select("doc_id", "n_shingles", "print").join(named, "print", "left").withColumn("component_id", own)
@@ -213,9 +312,43 @@ def _agreeing(batches: Iterator[pa.RecordBatch], matches: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(alike), batch.column(1).filter(alike)], ["a", "b"])
 
 
+def _as_folds(folds) -> np.ndarray:
+    return np.frombuffer(b"".join(folds), np.uint8).reshape(-1, COORDINATES)
+
+
+def _near_pivots(batches: Iterator[pa.RecordBatch], percent: int, matches: int) -> Iterator[pa.RecordBatch]:
+    """A link with each pivot of its list that a class is alike to."""
+    for batch in batches:
+        size, folds = batch.column(1).to_numpy(), _as_folds(batch.column(2).to_pylist())
+        lists = batch.column(3)
+        flat, count = lists.flatten(), lists.value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(batch)), count)
+        doc, n, fold = flat.field("doc").to_numpy(), flat.field("n").to_numpy(), _as_folds(flat.field("fold").to_pylist())
+        fits = (100 * n >= percent * size[row]) & (100 * size[row] >= percent * n)
+        own = batch.column(0).to_numpy()[row]
+        hit = np.flatnonzero(fits & (own != doc) & ((folds[row] == fold).sum(1) >= matches))
+        yield pa.RecordBatch.from_arrays([pa.array(doc[hit], pa.int64()), pa.array(own[hit], pa.int64())], ["a", "b"])
+
+
+def _joined_over(roots: DataFrame, rows: DataFrame, with_payload: Callable[[DataFrame], DataFrame], decide) -> DataFrame:
+    """roots (node, root), after the documents of each group of rows (grp, doc, n) that aren't joined yet have been compared too."""
+    named = rows.join(roots, rows["doc"] == roots["node"], "left").select("grp", "doc", "n", F.coalesce("root", "doc").alias("root"))
+    crossing = _crossings(cut(named, "named"))
+    if crossing is None:
+        return roots
+    links = cut(_compared(with_payload(crossing[0]), crossing[1], decide), "crossing")
+    name = roots.select(F.col("node").alias("doc"), "root")
+    for side in "ab":
+        links = links.join(name.withColumnRenamed("doc", side), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
+    again = cut(connected_components(links), "again").withColumnRenamed("root", "final")
+    met = roots.join(again.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("final", "root").alias("root"))
+    lone = again.join(roots.select("node"), "node", "left_anti").select("node", F.col("final").alias("root"))
+    return met.unionByName(lone)
+
+
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary()), *batch.columns[2:]], ["doc_id", "hashes", *batch.schema.names[2:]])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary()), *batch.columns[2:]], ["doc", "hashes", *batch.schema.names[2:]])
 
 
 #: The links of three-word shingles and 85 %, by comparing all documents that share a shingle.

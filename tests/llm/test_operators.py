@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import textwrap
+import time
 import zlib
 from array import array
 from collections import Counter
@@ -122,23 +123,55 @@ def test_near_duplicates_as_brute_force(spark, width, percent):
     assert got == brute_components(sets_of(rows, width), percent)
 
 
-def test_one_large_family_in_blocks(spark, monkeypatch):
-    """Long posting lists and several blocks give the components that pairs give."""
+def mutated(rng, base, most, kinds):
+    w = list(base)
+    for _ in range(rng.randint(0, most)):
+        w[rng.randrange(len(w))] = f"x{rng.randrange(kinds)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("most", [4, 16])
+def test_large_families_in_blocks(spark, monkeypatch, most):
+    """Long posting lists, several blocks and pairs of blocks give the components that pairs give, whether copies are close or most of them are not linked."""
     monkeypatch.setattr(minhash, "SHORT_LIST", 4)
-    monkeypatch.setattr(minhash, "BLOCK", 600)
-    rng = random.Random(2)
-    base = [f"w{i}" for i in range(60)]
-    texts = []
-    for i in range(40):
-        w = list(base)
-        for _ in range(rng.randint(0, 4)):
-            w[rng.randrange(60)] = f"x{rng.randrange(6)}"
-        texts.append((i, " ".join(w)))
-    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 600)
+    rng = random.Random(2 + most)
+    bases = [[f"w{i}" for i in range(60)], [f"v{i}" for i in range(80)], [f"w{i}" for i in range(50)] + [f"u{i}" for i in range(10)]]
+    docs = spark.createDataFrame([(i, mutated(rng, bases[i % 3], most, 6)) for i in range(90)], "doc_id bigint, text string")
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, width=3, percent=85).collect()}
     assert got == brute_components(sets_of(docs.collect(), 3), 85)
 
 
+def test_many_near_copies_in_bounded_blocks(spark):
+    """20,000 texts of 22 words, half of which are linked with the one they come from: no block pair is large, and the whole takes less than two minutes."""
+    rng, base = random.Random(3), [f"w{i}" for i in range(22)]
+    docs = spark.createDataFrame([(0, " ".join(base))] + [(i, mutated(rng, base, 1, 10**6)) for i in range(1, 20_000)], "doc_id bigint, text string").repartition(8)
+    began = time.perf_counter()
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, width=3, percent=85).collect()}
+    took = time.perf_counter() - began
+    sets = {r.doc_id: r for r in docs.where("doc_id < 400").collect()}
+    sets = sets_of(sets.values(), 3)
+    linked = {i for i, s in sets.items() if 100 * len(s & sets[0]) >= 85 * len(s | sets[0])}
+    assert 100 < len(linked) < 300 and all((got[i] == 0) == (i in linked) for i in sets)
+    assert took < 120
+
+
+def test_recall_of_links_near_the_limit(spark):
+    """All of 1,500 planted links of just 85 % are found."""
+    rng, texts = random.Random(9), []
+    for i in range(1500):
+        w = [f"a{i}x{rng.randrange(10**9)}" for _ in range(rng.randint(60, 300))]
+        n = len(w) - 2
+        new = min(n - (-(-85 * n // 100)), 200)
+        texts += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[: len(w) - new]))]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, width=3, percent=85).collect()}
+    sets = sets_of(docs.collect(), 3)
+    sure = [i for i in range(1500) if 100 * len(sets[2 * i + 1] & sets[2 * i]) >= 85 * len(sets[2 * i] | sets[2 * i + 1])]
+    assert len(sure) == 1500 and all(got[2 * i + 1] == 2 * i for i in sure)
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

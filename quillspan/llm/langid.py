@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.scratch import short_batches
+from quillspan.llm.scratch import cut, short_batches
 
 #: Trigrams whose vectors are held at once, and characters whose counts are.
 SLAB, CHUNK_CHARS = 8192, 200_000
@@ -83,19 +83,20 @@ def _summed(batches: Iterator[pa.RecordBatch], size: int, seed: int) -> Iterator
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(langs, size), pa.string()), pa.array(np.tile(np.arange(size, dtype=np.int32), len(langs))), pa.array(np.concatenate([total[x] for x in langs]))], ["lang", "at", "part"])
 
 
-def learn_profiles(documents: DataFrame, learn: Column, *, text_col: str, lang_col: str, size: int, seed: int, per_lang: int, most_langs: int) -> tuple[list[str], np.ndarray]:
-    """The languages and a profile of each: the sum of the bundles of some per_lang rows (all, if there are fewer) drawn by a hash of the text, less the mean of all profiles (the last row)."""
-    rows = documents.where(learn).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
-    if not counts:
-        return [], np.zeros((1, size), np.float32)
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_lang / n))]), F.col("lang"))
-    drawn = rows.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20))
+def learn_profiles(documents: DataFrame, learn: Column, *, id_col: str, text_col: str, lang_col: str, size: int, seed: int, per_lang: int) -> tuple[list[str], np.ndarray]:
+    """The languages and a profile of each: the sum of the bundles of some per_lang rows (all, if there are fewer) drawn by a hash of text and id, less the mean of all profiles (the last row)."""
+    rows = documents.where(learn).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where("lang is not null and text is not null")
+    # stored, so that its size is known before texts are read
+    shares = cut(rows.groupBy("lang").agg(F.least(F.lit(1.0), per_lang / F.count("*")).alias("share")), "shares")
+    drawn = rows.join(shares, "lang").where(F.pmod(F.xxhash64("text", "id", F.lit(seed)), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "text")
     sums = drawn.mapInArrow(lambda it: _summed(it, size, seed), "lang string, at int, part bigint").groupBy("lang", "at").agg(F.sum("part").alias("part")).collect()
     langs = sorted({r["lang"] for r in sums})
+    if not langs:
+        return [], np.zeros((1, size), np.float32)
+    row_of = {lang: k for k, lang in enumerate(langs)}
     profile = np.zeros((len(langs), size))
     for r in sums:
-        profile[langs.index(r["lang"]), r["at"]] = r["part"]
+        profile[row_of[r["lang"]], r["at"]] = r["part"]
     profile /= np.maximum(np.linalg.norm(profile, axis=1, keepdims=True), 1e-9)
     centre = profile.mean(0) if len(langs) > 1 else np.zeros(size)
     profile -= centre
@@ -117,14 +118,14 @@ def _predicted(batches: Iterator[pa.RecordBatch], langs: list[str], profile: np.
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
 
-def identify_languages(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = 512, seed: int = 11, per_lang: int = 5000, most_langs: int = 200) -> DataFrame:
+def identify_languages(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = 512, seed: int = 11, per_lang: int = 5000) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row.
 
     A letter's vector has random signs; a trigram's is the product of its letters', rolled by their place; a text's is
-    the sum of its trigrams'. A language's profile sums the texts of some per_lang rows (drawn by a hash of the text,
-    all where there are fewer, for the most_langs most frequent languages) whose id isn't held out: crc32 of the id as
-    text, mod 4, is 2 for those held out. Both are compared, less the mean profile, by cosine; score is the greatest one,
-    0 if it is below.
+    the sum of its trigrams'. A language's profile sums the texts of some per_lang rows (drawn by a hash of text and id,
+    all where there are fewer) whose id isn't held out: crc32 of the id as text, mod 4, is 2 for those held out. Every
+    language has a profile; what is gathered is size numbers for each. Both are compared, less the mean profile, by
+    cosine; score is the greatest one, 0 if it is below.
 
     A null text, or one without letters, gives und and 0; so does every text if nothing can be learned. A null id isn't
     held out, and no language is learned from it. Rows that repeat are judged alike. An empty table gives an empty table.
@@ -132,6 +133,6 @@ def identify_languages(documents: DataFrame, *, id_col: str = "doc_id", text_col
     """
     short_batches(documents.sparkSession)
     remainder = F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
-    langs, profile = learn_profiles(documents, remainder != 2, text_col=text_col, lang_col=lang_col, size=size, seed=seed, per_lang=per_lang, most_langs=most_langs)
+    langs, profile = learn_profiles(documents, remainder != 2, id_col=id_col, text_col=text_col, lang_col=lang_col, size=size, seed=seed, per_lang=per_lang)
     rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(remainder == 2, F.lit(False)).alias("held_out"))
     return rows.mapInArrow(lambda it: _predicted(it, langs, profile, seed), "doc_id bigint, held_out boolean, lang_pred string, score double")

@@ -39,13 +39,21 @@ def _paeth(a, b, c):
     return np.where((pa_ <= pb) & (pa_ <= pc), a, np.where(pb <= pc, b, c))
 
 
-def encode_png(payload: bytes, level: int = 1, kind: int = 0) -> bytes:
-    """A grey PNG, 64 samples wide, of a payload of a multiple of 64 bytes."""
+def chosen_filters(image: np.ndarray) -> np.ndarray:
+    """Each row under that of the filters none, left and up whose differences, taken as signed, have the smallest sum; of equal ones the first."""
+    tried = np.stack([filtered(image, kind) for kind in (0, 1, 2)])
+    cost = np.abs(tried[:, :, 1:].view(np.int8).astype(np.int16)).sum(2)
+    return tried[cost.argmin(0), np.arange(len(image))]
+
+
+def encode_png(payload: bytes, level: int = 1, kind: int | None = None) -> bytes:
+    """A grey PNG, 64 samples wide, of a payload of a multiple of 64 bytes, with one filter or each row's own."""
     image = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
     out = [SIGNATURE, _chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(image), 8, 0, 0, 0, 0))]
     squeeze, step = zlib.compressobj(level), IDAT_BYTES // (WIDTH + 1)
     for at in range(0, len(image), step):
-        rows = filtered(image[max(0, at - 1) : at + step], kind)[1 if at else 0 :] if kind else np.concatenate([np.zeros((len(image[at : at + step]), 1), np.uint8), image[at : at + step]], 1)
+        part = image[max(0, at - 1) : at + step]
+        rows = (chosen_filters(part) if kind is None else filtered(part, kind))[1 if at else 0 :]
         body = squeeze.compress(rows.tobytes()) + (squeeze.flush() if at + step >= len(image) else b"")
         if body:
             out.append(_chunk(b"IDAT", body))
@@ -53,31 +61,34 @@ def encode_png(payload: bytes, level: int = 1, kind: int = 0) -> bytes:
 
 
 def unfiltered(rows: np.ndarray) -> np.ndarray:
-    """Samples of filtered rows. Runs of rows without filter, or with left or up differences alone, are done at once."""
+    """Samples of filtered rows. Without Average and Paeth rows by sums over whole arrays, else by diagonals."""
     kinds, out = rows[:, 0], rows[:, 1:].copy()
     if kinds.max(initial=0) > 4:
         raise ValueError("PNG: unknown filter")
-    edges = np.flatnonzero(np.diff(kinds)) + 1
-    for a, b in zip([0, *edges], [*edges, len(rows)], strict=True):
-        kind = kinds[a] if b > a else 0
-        above = out[a - 1].copy() if a else np.zeros(out.shape[1], np.uint8)
-        if kind == 1:
-            out[a:b] = np.cumsum(out[a:b], 1, dtype=np.uint8)
-        elif kind == 2:
-            out[a:b] = np.cumsum(np.concatenate([above[None], out[a:b]]), 0, dtype=np.uint8)[1:]
-        elif kind > 2:
-            for i in range(a, b):
-                _unfilter_row(out[i], above, kind)
-                above = out[i]
+    if kinds.max(initial=0) > 2:
+        return _by_diagonals(kinds, out)
+    left = kinds == 1
+    if left.any():
+        out[left] = np.cumsum(out[left], 1, dtype=np.uint8)
+    if (kinds == 2).any():
+        # a run of up differences is added to the row above it: running sums over all rows, less the sum before that row
+        first = np.maximum.accumulate(np.where(kinds == 2, 0, np.arange(len(out))))
+        total = np.cumsum(out, 0, dtype=np.uint8)
+        out = total - np.where(first[:, None] > 0, total[first - 1], np.uint8(0))
     return out
 
 
-def _unfilter_row(row: np.ndarray, above: np.ndarray, kind: int) -> None:
-    left = corner = 0
-    for x, up in enumerate(above.tolist()):
-        guess = (left + up) // 2 if kind == 3 else int(_paeth(left, up, corner))
-        left, corner = (int(row[x]) + guess) & 255, up
-        row[x] = left
+def _by_diagonals(kinds: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Rows of any filters: all samples whose row and column add up to the same number at once, as each rests on earlier numbers alone."""
+    h, w = out.shape
+    known = np.zeros((h + 1, w + 1), np.int16)
+    for d in range(h + w - 1):
+        r = np.arange(max(0, d - w + 1), min(h, d + 1))
+        c = d - r
+        left, up, corner, kind = known[r + 1, c], known[r, c + 1], known[r, c], kinds[r]
+        guess = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, up, (left + up) // 2, _paeth(left, up, corner)], 0)
+        known[r + 1, c + 1] = (out[r, c] + guess) & 255
+    return known[1:, 1:].astype(np.uint8)
 
 
 def decode_png(data: bytes) -> np.ndarray:
@@ -160,7 +171,7 @@ def _stored(batches: Iterator[pa.RecordBatch], level: int, media: bool) -> Itera
 
 
 def media_columns(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", level: int = 1, media: bool = True) -> DataFrame:
-    """Each text's UTF-8 bytes as a grey PNG in a binary column, read back and hashed.
+    """Each text's UTF-8 bytes as a grey PNG in a binary column, read back and hashed. Each row of an image has its own filter.
 
     One row for each row: doc_id, n_bytes, payload_bytes (with zero bytes up to a positive multiple of 64),
     payload_sha256 and tail_crc32 of what decoding the PNG gives, media_bytes, media_sha256, phash (8 bytes: signs of the

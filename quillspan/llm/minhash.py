@@ -24,8 +24,8 @@ SHORT_LIST, PIVOTS = 128, 4
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 18
 #: Stands for a root where a block holds documents of several roots.
 SHARED = -(1 << 62)
-#: Rows of small tables, some 40 to 400 bytes each, up to which they are broadcast.
-FEW = 20_000
+#: Bytes of a table, by its rows and what one takes, up to which it is broadcast.
+SMALL = 8 << 20
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -171,9 +171,9 @@ def _blocks(rows: Column, shingles: Column) -> Column:
     return F.least(rows, F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(shingles / BLOCK_SHINGLES)))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A stored table, for a broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= FEW else df
+def _small(df: DataFrame, row_bytes: int = 40) -> DataFrame:
+    """A stored table, for a broadcast if its rows of so many bytes are few."""
+    return F.broadcast(df) if df.count() * row_bytes <= SMALL else df
 
 
 def _crossings(rows: DataFrame) -> tuple[DataFrame, DataFrame] | None:
@@ -267,7 +267,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
         at_pivots = long.select("value", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("doc")).join(folds, "doc").groupBy("value").agg(F.collect_list(F.struct("doc", "n", "fold")).alias("pivots"))
         at_pivots = cut(at_pivots, "pivots")
         held = cut(posted.drop("n").join(_small(long.select("value")), "value").join(folds, "doc").select("value", "doc", "n", "fold"), "held")
-        alike = alike.unionByName(held.join(_small(at_pivots), "value").select("doc", "n", "fold", "pivots").mapInArrow(lambda it: _near_pivots(it, percent, matches), "a bigint, b bigint").distinct())
+        alike = alike.unionByName(held.join(_small(at_pivots, 100 * PIVOTS), "value").select("doc", "n", "fold", "pivots").mapInArrow(lambda it: _near_pivots(it, percent, matches), "a bigint, b bigint").distinct())
     families = cut(connected_components(alike), "alike")
     if some_long:
         families = _joined_over(families, held.select(F.col("value").alias("grp"), "doc", "n"), lambda placed: placed.join(folds, "doc"), by_folds)
@@ -285,15 +285,20 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
         return linked_in_block(rows["doc"].to_numpy(), [np.frombuffer(x, np.uint64) for x in rows["hashes"]], left, right, percent, part)
 
     def within(rows: pd.DataFrame) -> pd.DataFrame:
-        all_of = np.arange(len(rows))
-        return pd.DataFrame(by_sets(rows, all_of, all_of, all_of), columns=["a", "b"], dtype="int64")
+        out = []
+        for _, part in rows.groupby(["grp", "block"], sort=False):
+            all_of = np.arange(len(part))
+            out += by_sets(part, all_of, all_of, all_of)
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     sizes = cut(families.groupBy("grp").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"), *hubs), "sizes")
     pivot = F.array_contains(F.array(*[f"p{k}" for k in range(PIVOTS)]), F.col("doc"))
-    placed = families.join(_small(sizes), "grp").select("doc", "grp", "blocks", pivot.alias("pivot"))
+    placed = families.join(_small(sizes, 80), "grp").select("doc", "grp", "blocks", pivot.alias("pivot"))
     sets = with_sets(cut(placed, "placed"))
     dealt = F.when(F.col("pivot"), F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("blocks"))))
-    inside = sets.withColumn("block", F.explode(dealt)).drop("pivot", "blocks").groupBy("grp", "block").applyInPandas(within, "a bigint, b bigint")
+    # small families are dealt together, as many rows as a block has at a time, as each group costs milliseconds of its own
+    task = F.when(F.col("blocks") > 1, F.xxhash64("grp", "block")).otherwise(F.pmod(F.xxhash64("grp"), F.lit(max(1, families.count() // BLOCK_ROWS))))
+    inside = sets.withColumn("block", F.explode(dealt)).withColumn("task", task).drop("pivot", "blocks").groupBy("task").applyInPandas(within, "a bigint, b bigint")
     roots = cut(connected_components(inside), "inside")
     split = sizes.where("blocks > 1").select("grp")
     if not split.isEmpty():

@@ -55,7 +55,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(table(spark, sf_dir, "documents"), media=False).withColumn("feature", F.lower(F.hex("phash"))).drop("phash")
+    return media_columns(table(spark, sf_dir, "documents")).withColumn("feature", F.lower(F.hex("phash"))).drop("phash")
 
 
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

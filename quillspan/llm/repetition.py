@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.scratch import short_batches
+from quillspan.llm.scratch import over_texts
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -42,7 +42,12 @@ def suffix_ranks(words: np.ndarray, doc: np.ndarray, ends: np.ndarray) -> list[n
 
 
 def longest_repeats(words: np.ndarray, doc: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each position, the words of the longest substring that begins there and occurs again in its text: the depth of the deepest interval of common prefixes around its suffix."""
+    """For each position, the words of the longest substring that begins there and occurs again in its text.
+
+    That is the depth of the deepest interval of common prefixes with its suffix: the larger one of the common prefixes
+    with both neighbours in the suffix array. An interval's maximal repeated substring begins at each of its suffixes, so
+    these spans are unions of maximal repeats; one that begins later in a repeat lies within the repeat's own span.
+    """
     n = len(words)
     out = np.zeros(n, np.int64)
     if not n:
@@ -154,10 +159,12 @@ def repetition_rules(
     max_longest: int = 100,
     max_copied: float = 0.12,
     least_words: int = 50,
+    carry: bool = False,
 ) -> DataFrame:
     """Rules on the quality of whole texts, with repeated substrings from a suffix array of each text's words.
 
-    A word is a run of characters other than ASCII white space. One row for each row, with its id, n_words, word_chars,
+    A word is a run of characters other than ASCII white space. One row for each row, with its id (with carry, document, a
+    struct of all its columns, in its place), n_words, word_chars,
     n_symbols, n_dup_lines, n_repeat_words, n_span_words (words in the union of repeated substrings of min_words words
     or more), n_copied_words (words in the union of runs of min_words words that stand earlier in the text too, so without
     first copies), longest_repeat (words), base_failed and kept. kept is false if base_failed, if the repeated substrings
@@ -169,9 +176,8 @@ def repetition_rules(
     An empty table gives an empty table. Other columns are not read. No shuffle; a task holds one Arrow batch and the
     suffixes of some 150,000 words, or of one longer text.
     """
-    short_batches(documents.sparkSession)
-    schema = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_span_words bigint, n_copied_words bigint, longest_repeat bigint"
-    found = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda it: _in_chunks(it, min_words), schema)
+    fields = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_span_words bigint, n_copied_words bigint, longest_repeat bigint"
+    found = over_texts(documents, lambda it: _in_chunks(it, min_words), fields, id_col=id_col, text_col=text_col, carry=carry)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     fine = (F.col("n_span_words") <= max_fraction * F.col("n_words")) & (F.col("longest_repeat") <= max_longest)
     fine = fine & (F.col("n_copied_words") <= max_copied * F.col("n_words"))

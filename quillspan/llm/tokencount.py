@@ -76,7 +76,7 @@ def _counted(batches: Iterator[pa.RecordBatch], file: str, chunk: int, overlap:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([count_tokens(t, file, chunk, overlap) for t in texts], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
 
-def token_counts(documents: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, chunk: int = 1 << 16, overlap: int = 1 << 10) -> DataFrame:
+def token_counts(documents: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, chunk: int = 1 << 14, overlap: int = 1 << 9) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of each row's whole text.
 
     tokenizer_file: a byte-level BPE of the tokenizers library whose ids follow its merges, at the same place on every

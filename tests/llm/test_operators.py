@@ -89,6 +89,62 @@ def test_toxic_words_are_found(spark):
     assert all(got[i] == (i % 5 == 0) for i in range(400))
 
 
+def slow_fit(rows, y, before):
+    """A logistic model by the rules of the module, on sets of features: chosen features, then the same steps, feature by feature."""
+    n, k = len(y), before.shape[1]
+    bins = sorted({b for r in rows for b in r})
+    score = {}
+    for b in bins:
+        p, q = (sum(b in r for r, t in zip(rows, y, strict=True) if t == want) + 0.5 for want in (True, False))
+        a, c = y.sum() + 1, (~y).sum() + 1
+        score[b] = (np.log(p / (a - p)) - np.log(q / (c - q))) / np.sqrt(1 / p + 1 / q + 1 / (a - p) + 1 / (c - q))
+    chosen = sorted(b for b in bins if abs(score[b]) >= 3.0)
+    x = np.array([[float(b in r) for b in chosen] for r in rows]).reshape(n, len(chosen))
+    x = np.c_[x, before, np.ones(n)]
+    share = (y.sum() + 0.5) / (n + 2)
+    w = ahead = np.r_[np.zeros(len(chosen) + k), np.log(share / (1 - share))]
+    length = x[:, : len(chosen)].sum(1) + k + 1
+    bound = (np.abs(x).T @ length + np.r_[np.zeros(len(chosen)), np.full(k, 1e-3), 0]) / (4 * n) + 2e-5
+    bound = np.maximum(bound, bound.max() * 1e-4)
+    for t in range(150):
+        slope = x.T @ (1 / (1 + np.exp(-x @ ahead)) - y) / n + 2e-5 * np.r_[ahead[:-1], 0]
+        new = ahead - slope / bound
+        ahead, w = new + t / (t + 3) * (new - w), new
+    return lambda r, earlier: 1 / (1 + np.exp(-(sum(w[chosen.index(b)] for b in r if b in chosen) + earlier @ w[len(chosen) : -1] + w[-1])))
+
+
+def test_chain_as_a_slow_refit_by_folds():
+    """Later models get chances of earlier categories that models without the text's fold gave; the chain then differs from models apart."""
+    rng = random.Random(8)
+    rows = [sorted(rng.sample(range(30), rng.randint(2, 8))) for _ in range(240)]
+    first = np.array([1 in r or 2 in r or rng.random() < 0.05 for r in rows])
+    second = np.array([bool(a) and (3 in r or rng.random() < 0.6) for a, r in zip(first, rows, strict=True)])
+    texts = [np.array(r, np.int32) for r in rows]
+    chain, threshold = toxicity.fit_chain(texts, np.c_[first, second])
+    none, fold = np.zeros((len(rows), 0)), np.arange(len(rows)) % 3
+    unseen = np.zeros((len(rows), 1))
+    for f in range(3):
+        inside = np.flatnonzero(fold != f)
+        model = slow_fit([rows[i] for i in inside], first[inside], none[inside])
+        for i in np.flatnonzero(fold == f):
+            unseen[i] = model(rows[i], none[i])
+    wanted = slow_fit(rows, first, none), slow_fit(rows, second, unseen)
+
+    def chances(models, r):
+        earlier = np.zeros((1, 0))
+        for m in models:
+            places = [k for k, b in enumerate(m.bins) if b in r]
+            earlier = np.c_[earlier, m.chance(np.zeros(len(places), np.int64), np.array(places, np.int64), 1, earlier)]
+        return earlier[0]
+
+    apart = slow_fit(rows, second, none)
+    for r in rows[:60]:
+        one = wanted[0](r, np.zeros(0))
+        assert np.allclose(chances(chain, r), [one, wanted[1](r, np.array([one]))], atol=1e-8)
+    assert chain[1].earlier.shape == (1,) and chain[1].earlier[0] > 0.5
+    assert max(abs(apart(r, np.zeros(0)) - chances(chain, r)[1]) for r in rows) > 0.1 and 0 < threshold < 1
+
+
 def sets_of(rows, width):
     out = {}
     for r in rows:
@@ -260,6 +316,19 @@ def test_maximal_chats_by_brute_force(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_odd_conversations(spark):
+    """Columns named as the operator's own, repeated rows, ties, turns without number and very long texts."""
+    rows = [(1, k, "user", t) for k, t in enumerate(("a", "b", "c"))] + [(2, k, "user", t) for k, t in enumerate(("a", "b"))] + [(2, 1, "user", "b")]
+    rows += [(3, None, "user", "z")] * 2 + [(4, 5, None, ""), (5, 5, "", None), (6, 0, "user", LONG), (7, 0, "user", LONG), (7, 1, "user", "more")] + [(8, 3, "user", t) for t in "qpr"]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4, 5, 6, 7, 8) for r in rows], "conv_id bigint, turn bigint, role string, text string, block int, idx int, g1 int, h1 int, n_turns int, at int, p string, segment int")
+    got = chat.format_chats(df).collect()
+    by = {r.conv_id: r for r in got}
+    assert set(by) == {1, 2, 3, 4, 5, 7, 8} and by[2].n_turns == 3 and by[3].n_turns == 2 and by[8].n_turns == 3
+    assert by[3].segment is None and by[3].rendered == "<|im_start|>user\nz<|im_end|>\n" * 2
+    assert by[4].rendered == "<|im_start|>unknown\n<|im_end|>\n" and by[5].rendered == "<|im_start|>\n<|im_end|>\n"
+    assert LONG in by[7].rendered
+
+
 def test_merges_are_sound():
     """Every vocabulary entry comes from its own merge alone, so that merging by the lowest id is the library's merging."""
     for file, mark in ((BYTES, ""), (WORDS, "</w>")):
@@ -298,6 +367,22 @@ def test_spliced_counts():
         assert tokencount.spliced_count(t, encode, 400, 200) == len(encode(t))
 
 
+@pytest.mark.parametrize("chunk,overlap", [(300, 160), (1 << 14, 1 << 9)])
+def test_token_counts_of_a_table(spark, chunk, overlap):
+    """Whole documents as the library counts them, long ones in chunks, with ends that fail to align."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    more = [(-1, "x" * 5000), (-2, " " * 3000 + "é" * 2000), (-3, "a b" * 9000 + "<|endoftext|>" * 9), (-4, None), (-5, "\n\t " * 4000), (-6, "日本語" * 3000)]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    library = vocab.tokenizer(BYTES)
+    got = {r.doc_id: r for r in tokencount.token_counts(docs, BYTES, chunk=chunk, overlap=overlap).collect()}
+    long = 0
+    for i, text in docs.collect():
+        n = len(library.encode(text or "", add_special_tokens=False))
+        long += len(text or "") > chunk
+        assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((text or "").encode()), n > 1024), i
+    assert long > 3
+
+
 def test_packing_is_whole_and_gapless(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = packing.pack_documents(docs, WORDS).toPandas()
@@ -333,6 +418,42 @@ def test_languages_held_out(spark):
     assert all((zlib.crc32(str(i).encode()) % 4 == 2) for i in got.doc_id)
 
 
+def test_languages_by_brute_force(spark):
+    """Each text's cosines with each profile, by loops, on a whole table in which one language has many copies of two texts."""
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 30))), lang) for i, (letters, lang) in enumerate([("abcde", "x"), ("defgh", "y"), ("ghiab", "z"), ("mnopq", None)] * 40)]
+    rows += [(1000 + i, ("only one text here", "or this other one")[i % 2], "w") for i in range(400)] + [(5000, None, "x"), (5001, " 1 2 ", "y"), (5002, "rare words", "v")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    size, seed, per_lang = 128, 5, 50
+    got = {r.doc_id: r for r in langid.identify_languages(docs, size=size, seed=seed, per_lang=per_lang).collect()}
+    draw = {r.doc_id: r.u for r in docs.select("doc_id", F.pmod(F.xxhash64("text", "doc_id", F.lit(seed)), F.lit(1 << 20)).alias("u")).collect()}
+    learn = [r for r in rows if r[1] is not None and r[2] is not None and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    count = Counter(r[2] for r in learn)
+
+    def bundle(text):
+        word, out = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " ", np.zeros(size)
+        for a, b, c in zip(word, word[1:], word[2:], strict=False):
+            if b != " ":
+                v = [langid.letter_vector(0 if x == " " else ord(x), size, seed).astype(float) for x in (a, b, c)]
+                out += np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
+        return out / max(np.linalg.norm(out), 1e-9)
+
+    drawn = [r for r in learn if draw[r[0]] < min(1.0, per_lang / count[r[2]]) * (1 << 20)]
+    assert {r[2] for r in drawn} == {"w", "x", "y", "z"} | ({"v"} if zlib.crc32(b"5002") % 4 != 2 else set())
+    langs = sorted({r[2] for r in drawn})
+    profile = np.array([sum(np.rint(bundle(r[1]) * 1e6) for r in drawn if r[2] == lang) for lang in langs])
+    profile /= np.linalg.norm(profile, axis=1, keepdims=True)
+    centre = profile.mean(0)
+    profile = (profile - centre) / np.linalg.norm(profile - centre, axis=1, keepdims=True)
+    for i, text, _ in rows:
+        v = bundle(text or "")
+        if not v.any():
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        cosine = profile @ (v - centre) / np.linalg.norm(v - centre)
+        assert abs(got[i].score - np.clip(cosine.max(), 0, 1)) < 1e-4 and cosine[langs.index(got[i].lang_pred)] > cosine.max() - 1e-4
+
+
 def test_bundles_by_definition():
     text, size, seed = "Bad dab", 64, 9
     v = lambda c: langid.letter_vector(ord(c) if c != " " else 0, size, seed).astype(int)
@@ -340,7 +461,7 @@ def test_bundles_by_definition():
     assert np.allclose(langid.bundles([text], size, seed)[0], want / np.linalg.norm(want), atol=1e-6)
 
 
-@pytest.mark.parametrize("kind", range(5))
+@pytest.mark.parametrize("kind", [None, *range(5)])
 def test_png_filters_round_trip(kind):
     body = os.urandom(64 * 37)
     stored = media.encode_png(body, kind=kind)
@@ -354,6 +475,38 @@ def test_png_filters_round_trip(kind):
         media.decode_png(stored[:-12])
 
 
+def test_filters_of_rows_by_definition():
+    """Rows of mixed filters, sample by sample; each stored row has a filter of the least sum."""
+    rng = np.random.Generator(np.random.Philox(1))
+    for kinds in (5, 3):
+        rows = rng.integers(0, 256, (40, 9), np.uint8)
+        rows[:, 0] = rng.integers(0, kinds, 40)
+        want = np.zeros((40, 8), int)
+        for r in range(40):
+            for c in range(8):
+                a, b, d = (int(want[r, c - 1]) if c else 0), (int(want[r - 1, c]) if r else 0), (int(want[r - 1, c - 1]) if r and c else 0)
+                p = a + b - d
+                paeth = min((a, b, d), key=lambda x: abs(p - x))
+                want[r, c] = (int(rows[r, c + 1]) + (0, a, b, (a + b) // 2, paeth)[rows[r, 0]]) % 256
+        assert (media.unfiltered(rows) == want).all()
+    image = np.frombuffer(("some lines of text\n" * 64).encode(), np.uint8)[: 64 * 18].reshape(-1, 64)
+    chosen = media.chosen_filters(image)
+    cost = np.array([np.abs(media.filtered(image, k)[:, 1:].view(np.int8).astype(int)).sum(1) for k in range(3)])
+    assert (cost[chosen[:, 0], np.arange(18)] == cost.min(0)).all() and len(set(chosen[:, 0].tolist())) > 1
+
+
+def test_cosine_hashes_by_definition():
+    rng = np.random.Generator(np.random.Philox(2))
+    for h in (1, 7, 32, 33, 100):
+        image = rng.integers(0, 256, (h, 64), np.uint8)
+        rows = [i * h // 32 for i in range(33)]
+        small = [[np.mean([[int(image[r, c]) for c in (2 * x, 2 * x + 1)] for r in range(rows[y], max(rows[y + 1], rows[y] + 1))]) for x in range(32)] for y in range(32)]
+        scale = lambda k: np.sqrt((1 if k == 0 else 2) / 32)
+        low = [round(float(scale(u) * scale(v) * sum(small[y][x] * np.cos(np.pi * (2 * y + 1) * u / 64) * np.cos(np.pi * (2 * x + 1) * v / 64) for y in range(32) for x in range(32))), 6) for u in range(8) for v in range(8)]
+        middle = np.median(low[1:])
+        assert media.cosine_hash(image) == np.packbits([x > middle for x in low]).tobytes()
+
+
 def test_media_features(spark):
     rows = media.media_columns(spark.read.parquet(f"{SF}/documents.parquet")).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

@@ -1,4 +1,4 @@
-"""Counts the files of a folder: python -m quillspan FOLDER [--sheet all|first|NAME] [--flat] [--with-notes] [--out FOLDER]."""
+"""Counts files and the files of folders: python -m quillspan INPUT... [--sheet all|first|NAME] [--flat] [--with-notes] [--out FOLDER]."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
 from quillspan.operators.units import count_units, selected_units
-from quillspan.sources.office import read_units
+from quillspan.sources.office import clean_layers, read_units
 
 
 def file_totals(units: DataFrame, sheet: str = "all", with_notes: bool = False) -> DataFrame:
@@ -21,18 +21,19 @@ def file_totals(units: DataFrame, sheet: str = "all", with_notes: bool = False)
 
 def main() -> None:
     ask = argparse.ArgumentParser(prog="quillspan", description="Counts the text of files.")
-    ask.add_argument("folder")
+    ask.add_argument("inputs", nargs="+", help="folders, files or patterns of them")
     ask.add_argument("--sheet", default="all", help="all, first, or the name of a sheet")
     ask.add_argument("--flat", action="store_true", help="leave out folders in the folder")
     ask.add_argument("--with-notes", action="store_true")
-    ask.add_argument("--out", help="where rows are written as JSON, else they are shown")
+    ask.add_argument("--out", help="where rows are written as JSON, else they are printed")
     to = ask.parse_args()
     spark = SparkSession.builder.appName("quillspan").getOrCreate()
-    totals = file_totals(read_units(spark, to.folder, recursive=not to.flat), to.sheet, to.with_notes)
+    totals = file_totals(clean_layers(read_units(spark, to.inputs, recursive=not to.flat)), to.sheet, to.with_notes)
     if to.out:
         totals.write.mode("overwrite").json(to.out)
     else:
-        totals.orderBy("path").show(1000, truncate=False)
+        for row in totals.orderBy("path").toJSON().toLocalIterator():
+            print(row)
 
 
 if __name__ == "__main__":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,11 +26,13 @@ PLACEHOLDERS = [
 ]
 
 RUN = f"[^{WS}{FAR}]+"
+#: The characters of WS.
+WS_CHARS = "".join(filter(re.compile("[" + re.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{int(m[1], 16):04x}", WS) + "]").match, map(chr, range(0x3001))))
 
 
 def stripped(c: Column) -> Column:
     """Without white space at either end, of any kind."""
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def stripped_sql(x: str) -> str:
@@ -55,7 +59,7 @@ def nc(c: Column) -> Column:
 
 def chars(c: Column) -> Column:
     """Characters that aren't white space."""
-    return F.length(F.regexp_replace(c, f"[{WS}]", "")).cast("bigint")
+    return F.length(F.translate(c, WS_CHARS, "")).cast("bigint")
 
 
 def chars_sql(x: str) -> str:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
+import math
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -73,29 +76,39 @@ def align(original: list[str], revised: list[str], least: float = 0.35, least_le
     return out + [("DEL", i, None) for i in gone[at:]]
 
 
-def in_document_order(ops: list[tuple[str, int | None, int | None]], n: int, m: int) -> list[tuple[str, int | None, int | None]]:
-    """Operations as a reader of both versions meets them: matches where both stand, else what the revision adds, else what it drops. A match that the revision moved is left out, as neither version reaches it in order."""
-    of_left = {i: (tag, i, j) for tag, i, j in ops if i is not None and tag != "SUB_EQ"}
-    of_right = {j: (tag, i, j) for tag, i, j in ops if j is not None}
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        left, right = of_left.get(i), of_right.get(j)
-        if left and i < n and j < m and left[2] == j:
-            out.append(left)
-            i, j = i + 1, j + 1
-        elif j < m and right and right[0] in ("SUB_EQ", "INS"):
-            out.append(right)
-            j += 1
-        elif i < n and left and left[0] == "DEL":
-            out.append(left)
-            i += 1
-        elif i < n and not left:
-            i += 1
-        elif j < m:
-            j += 1
-        else:
-            i += 1
-    return out
+def rising(values: list[int]) -> list[int]:
+    """Places of a longest strictly rising subsequence, by the smallest end of each length."""
+    ends: list[int] = []
+    places: list[int] = []
+    before = [-1] * len(values)
+    for k, v in enumerate(values):
+        at = bisect.bisect_left(ends, v)
+        before[k] = places[at - 1] if at else -1
+        ends[at : at + 1], places[at : at + 1] = [v], [k]
+    out, k = [], places[-1] if places else -1
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
+def in_document_order(ops: list[tuple[str, int | None, int | None]]) -> list[tuple[str, int | None, int | None]]:
+    """Operations as a reader of the revision meets them, each deletion just before the match that follows it in the original.
+
+    Of matches that cross, as blocks were moved, as many as can stand in order in both versions are kept, and the others
+    left out. Blocks contained in others follow the revision alone.
+    """
+    matched = sorted((j, i, tag) for tag, i, j in ops if i is not None and j is not None and tag != "SUB_EQ")
+    kept = [matched[k] for k in rising([i for _, i, _ in matched])]
+    left = [i for _, i, _ in kept]
+    placed = [((j, 1, 0), (tag, i, j)) for j, i, tag in kept]
+    for tag, i, j in ops:
+        if j is None:
+            following = bisect.bisect_right(left, i)
+            placed.append(((kept[following][0] if following < len(kept) else math.inf, 0, i), (tag, i, j)))
+        elif i is None or tag == "SUB_EQ":
+            placed.append(((j, 1, 0), (tag, i, j)))
+    return [op for _, op in sorted(placed, key=lambda x: x[0])]
 
 
 def fused_opcodes(a: list[str], b: list[str]) -> list[tuple[str, int, int, int, int]]:
@@ -110,71 +123,66 @@ def fused_opcodes(a: list[str], b: list[str]) -> list[tuple[str, int, int, int,
     return out
 
 
-#: Cells of a table of common subsequences up to which texts are compared whole; longer ones go in steps of so many tokens, resynchronised within so many.
-WHOLE_CELLS, STEP, AHEAD = 4_000_000, 500, 25
+def _reached(a: list[str], b: list[str]) -> np.ndarray:
+    """The length of the longest common subsequence of each beginning of a with b, with one bit for each token of a."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = bits = (1 << len(a)) - 1
+    for y in b:
+        hit = bits & places.get(y, 0)
+        bits = (bits + hit | bits - hit) & full
+    held = np.unpackbits(np.frombuffer(bits.to_bytes(len(a) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(a)]
+    return np.r_[0, np.cumsum(1 - held.astype(np.int64))]
 
 
-def common_runs(a: list[str], b: list[str]) -> list[tuple[bool, str, str]]:
-    """Whether equal, and both sides, of each stretch of two lists by their longest common subsequence."""
-    held = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        row, under = held[i], held[i + 1]
-        for j in range(len(b) - 1, -1, -1):
-            row[j] = under[j + 1] + 1 if a[i] == b[j] else max(under[j], row[j + 1])
-    out: list[tuple[bool, str, str]] = []
-    i = j = 0
+def common_places(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places in both lists of a longest common subsequence.
 
-    def put(same: bool, x: str, y: str) -> None:
-        if out and out[-1][0] == same:
-            out[-1] = (same, out[-1][1] + x, out[-1][2] + y)
-        else:
-            out.append((same, x, y))
-
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            put(True, a[i], b[j])
+    Equal ends are matched; what lies between is cut at the middle of b and where a may be cut without loss, and each
+    half done by itself. So memory grows with the lists alone, and the result is exact for any size.
+    """
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, p, j, q = todo.pop()
+        while i < p and j < q and a[i] == b[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif held[i + 1][j] >= held[i][j + 1]:
-            put(False, a[i], "")
-            i += 1
-        else:
-            put(False, "", b[j])
-            j += 1
-    if i < len(a) or j < len(b):
-        put(False, "".join(a[i:]), "".join(b[j:]))
-    return out
-
-
-def _next_step(a: list[str], b: list[str], i: int, j: int) -> tuple[int, int]:
-    """Where the next step of both sides ends: before the nearest token that both hold around its end."""
-    x, y = min(len(a), i + STEP), min(len(b), j + STEP)
-    if x == len(a) or y == len(b):
-        return len(a), len(b)
-    shared = [(p + q, p, q) for p in range(AHEAD) for q in range(AHEAD) if x + p < len(a) and y + q < len(b) and a[x + p] == b[y + q] and a[x + p].strip()]
-    _, p, q = min(shared, default=(0, 0, 0))
-    return x + p, y + q
+        while i < p and j < q and a[p - 1] == b[q - 1]:
+            p, q = p - 1, q - 1
+            out.append((p, q))
+        if i == p or j == q:
+            continue
+        if q - j == 1:
+            out += [(k, j) for k in range(i, p) if a[k] == b[j]][:1]
+            continue
+        half = (j + q) // 2
+        cut = i + int(np.argmax(_reached(a[i:p], b[j:half]) + _reached(a[i:p][::-1], b[half:q][::-1])[::-1]))
+        todo += [(i, cut, j, half), (cut, p, half, q)]
+    return sorted(out)
 
 
-def diff_runs(a: str, b: str) -> list[tuple[bool, str, str]]:
-    """Stretches of two texts by common subsequences of tokens; very long texts step by step, so that memory stays bounded."""
-    x, y = tokens(a), tokens(b)
-    if len(x) * len(y) <= WHOLE_CELLS:
-        return common_runs(x, y)
+def common_runs(a: list[str], b: list[str]) -> list[tuple[bool, str, str]]:
+    """Whether equal, and both sides, of each stretch of two lists by a longest common subsequence."""
     out: list[tuple[bool, str, str]] = []
     i = j = 0
-    while i < len(x) or j < len(y):
-        p, q = _next_step(x, y, i, j)
-        # what is left of one side may be far longer than a step of the other
-        parts = common_runs(x[i:p], y[j:q]) if (p - i) * (q - j) <= WHOLE_CELLS else [(False, "".join(x[i:p]), "".join(y[j:q]))]
-        for same, s, t in parts:
-            if out and out[-1][0] == same:
-                out[-1] = (same, out[-1][1] + s, out[-1][2] + t)
+    for x, y in [*common_places(a, b), (len(a), len(b))]:
+        if x > i or y > j:
+            out.append((False, "".join(a[i:x]), "".join(b[j:y])))
+        if x < len(a):
+            if out and out[-1][0]:
+                out[-1] = (True, out[-1][1] + a[x], out[-1][2] + b[y])
             else:
-                out.append((same, s, t))
-        i, j = p, q
+                out.append((True, a[x], b[y]))
+        i, j = x + 1, y + 1
     return out
 
 
+def diff_runs(a: str, b: str) -> list[tuple[bool, str, str]]:
+    """Stretches of two texts by a longest common subsequence of their tokens."""
+    return common_runs(tokens(a), tokens(b))
+
+
 def row_runs(a: list[str], b: list[str]) -> list[tuple[int, bool, str, str]]:
     """Stretches of the cells of two table rows, cell by cell; a row's further cells are deleted or inserted whole."""
     width = max(len(a), len(b))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,11 +41,66 @@ def entity_numbers(pairs: DataFrame, by: str, pos: str = "pos", code: str = "cod
 
 def expand_blocks(spark, inserts: DataFrame, texts: DataFrame, most_depth: int = 6) -> DataFrame:
     """Each text of a block as often as the block is inserted, directly or through other blocks, down to most_depth."""
-    inserts.createOrReplaceTempView("_inserts")
-    texts.createOrReplaceTempView("_texts")
-    return spark.sql(f"""
+    return spark.sql(
+        f"""
         WITH RECURSIVE reach(root, block, depth) AS (
-          SELECT parent, child, 1 FROM _inserts WHERE parent LIKE 'root%'
+          SELECT parent, child, 1 FROM {{inserts}} WHERE parent LIKE 'root%'
           UNION ALL
-          SELECT r.root, i.child, r.depth + 1 FROM reach r JOIN _inserts i ON i.parent = r.block WHERE r.depth < {most_depth})
-        SELECT root, text, count(*) AS n FROM reach JOIN _texts ON _texts.block = reach.block GROUP BY root, text""")
+          SELECT r.root, i.child, r.depth + 1 FROM reach r JOIN {{inserts}} i ON i.parent = r.block WHERE r.depth < {most_depth})
+        SELECT root, text, count(*) AS n FROM reach JOIN {{texts}} t ON t.block = reach.block GROUP BY root, text""",
+        inserts=inserts,
+        texts=texts,
+    )
+
+
+#: Parts into which rows are dealt to number them.
+PARTS = 64
+
+
+def numbered(df: DataFrame, key: Column, name: str) -> DataFrame:
+    """df with the place of each row, from 1, in the order of a key of distinct whole numbers.
+
+    Some quantiles of the key deal the rows into parts of about equal size; only these and the parts' sizes reach the
+    driver, and rows are ordered within parts.
+    """
+    keyed = df.withColumn("_key", key)
+    bounds = keyed.agg(F.percentile_approx("_key", [k / PARTS for k in range(1, PARTS)], 1000)).first()[0] or []
+    part = F.size(F.filter(F.array(*[F.lit(b).cast("bigint") for b in bounds]).cast("array<bigint>"), lambda b: b < F.col("_key")))
+    dealt = keyed.withColumn("_part", part)
+    sizes = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}
+    before = F.array(*[F.lit(sum(sizes.get(q, 0) for q in range(k))).cast("bigint") for k in range(len(bounds) + 1)])
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_key")) + F.element_at(before, F.col("_part") + 1)
+    return dealt.withColumn(name, place).drop("_key", "_part")
+
+
+def held_rectangles(rects: DataFrame, inside: str, reach: float = 5) -> DataFrame:
+    """file and id of the rectangles a (file, id, x0, y0, x1, y1, area) for which a larger one b of their file, of equal ones an earlier, stands in a relation that puts a inside b with reach to spare.
+
+    Each b lies in at most three cells of a grid about as wide as b; each a is looked for in the cell of its left side,
+    in the grids of its file. So no more pairs meet than lie side by side at one scale.
+    """
+    level = lambda r: F.ceil(F.log2(F.col(f"{r}.x1") - F.col(f"{r}.x0") + 2 * reach))
+    cell = lambda x: F.floor(x / F.pow(F.lit(2.0), F.col("level")))
+    large = rects.alias("b").withColumn("level", level("b")).withColumn("cell", F.explode(F.sequence(cell(F.col("x0") - reach), cell(F.col("x1") + reach))))
+    levels = large.groupBy("file").agg(F.collect_set("level").alias("levels"))
+    small = rects.join(levels, "file").withColumn("level", F.explode("levels")).drop("levels").withColumn("cell", cell(F.col("x0")))
+    met = small.alias("a").join(large.alias("b"), F.expr(f"a.file = b.file AND a.level = b.level AND a.cell = b.cell AND (b.area > a.area OR (b.area = a.area AND b.id < a.id)) AND {inside}"), "left_semi")
+    return met.select("file", "id").distinct()
+
+
+def similar_sets(pieces: DataFrame, owner: str, piece: str, percent: int) -> DataFrame:
+    """Pairs a < b of owners of distinct pieces with 100 * intersection >= percent * union, and their sizes na and nb.
+
+    Owners of similar sets share a piece among the first few of either in the order of frequency; only such pairs are
+    compared.
+    """
+    rare = pieces.groupBy(piece).agg(F.count("*").alias("_often"))
+    held = F.sort_array(F.collect_list(F.struct("_often", piece)))
+    sets = pieces.join(rare, piece).groupBy(owner).agg(held.alias("_held")).select(owner, F.col("_held")[piece].alias("_set")).withColumn("_n", F.size("_set"))
+    first = F.slice("_set", F.lit(1), F.col("_n") - F.ceil(percent * F.col("_n") / 100).cast("int") + 1)
+    keyed = sets.select(owner, "_n", F.explode(first).alias("_key"))
+    x, y = (keyed.select(F.col(owner).alias(c), F.col("_n").alias(f"n{c}"), "_key") for c in "ab")
+    near = x.join(y, "_key").where(f"a < b and 100 * na >= {percent} * nb and 100 * nb >= {percent} * na").select("a", "b", "na", "nb").distinct()
+    of = lambda c: sets.select(F.col(owner).alias(c), F.col("_set").alias(f"_{c}"))
+    common = F.size(F.array_intersect("_a", "_b"))
+    return near.join(of("a"), "a").join(of("b"), "b").where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b", "na", "nb")

@@ -6,21 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
+from quillspan.functions.layers import BAD, CJK_CONTENT, CJK_PUNCT, EXOTIC, LEADERS, is_poisoned, sanitize_paragraph
 from quillspan.operators import units as U
 from quillspan.plans.registry import Tables, query
 
-BAD = r"[\x{00}\x{08}\x{0B}\x{0C}\x{0E}\x{0F}\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}]"
-EXOTIC = r"[\x{80}-\x{24F}\x{2B0}-\x{36F}\x{2150}-\x{23FF}]"
-
-
-def is_poisoned(c):
-    """Whether a paragraph of a text layer is mojibake: empty, three glyph references or more, or many private-use, control or exotic characters."""
-    s = T.stripped(c)
-    n, bad, exotic = F.length(s), T.count_of(s, BAD), T.count_of(s, EXOTIC)
-    much = (T.count_of(s, r"\((?:cid|CID):") >= 3) | (bad >= F.greatest(F.lit(8.0), n * 0.05)) | (exotic >= F.greatest(F.lit(20.0), n * 0.30))
-    return F.when(c == "", True).when(n < 10, False).otherwise(much)
-
-
 POISONED_SQL = f"CASE WHEN x = '' THEN true WHEN length(s) < 10 THEN false ELSE {T.count_sql('s', r'\((?:cid|CID):')} >= 3 OR {T.count_sql('s', BAD)} >= greatest(8.0, length(s) * 0.05) OR {T.count_sql('s', EXOTIC)} >= greatest(20.0, length(s) * 0.30) END"
 #: Lines, some with glyph references or private-use characters put in by their number.
 DIRTY = "CASE WHEN doc_id % 7 = 0 THEN concat(text, '(cid:12)(cid:7)(CID:9)') WHEN doc_id % 5 = 0 THEN translate(text, 'eai', '') ELSE text END"
@@ -31,21 +20,10 @@ def d01_poisoned(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", is_poisoned(F.expr(DIRTY)).alias("poisoned"))
 
 
-LEADERS = r"[\x{30FB}\x{FF65}\x{2026}]{2,}"
-CJK_CONTENT = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
-CJK_PUNCT = r"[\x{3000}-\x{303F}\x{FF00}-\x{FF0F}\x{FF1A}-\x{FF20}]"
 #: Vowels of some documents as Han, so that shares differ.
 MIXED = "CASE WHEN doc_id % 3 = 0 THEN translate(text, 'aeiou', '中文字数统') WHEN doc_id % 3 = 1 THEN translate(text, 'z,', '字，') ELSE concat(text, '・・・・') END"
 
 
-def sanitize_paragraph(c, least=0.15):
-    """A paragraph without leader dots and, where few characters are Chinese or Japanese, without those and their punctuation."""
-    plain = F.regexp_replace(c, LEADERS, "")
-    solid, content = T.chars(plain), T.count_of(plain, CJK_CONTENT)
-    few = F.regexp_replace(F.regexp_replace(plain, CJK_CONTENT, ""), CJK_PUNCT, "")
-    return F.when(solid == 0, "").otherwise(T.stripped(F.when(content < least * solid, few).otherwise(plain)))
-
-
 @query(f"SELECT doc_id, CASE WHEN solid = 0 THEN '' WHEN n < 0.15::DOUBLE * solid THEN {T.stripped_sql(f"regexp_replace(regexp_replace(p, '{CJK_CONTENT}', '', 'g'), '{CJK_PUNCT}', '', 'g')")} ELSE {T.stripped_sql('p')} END AS clean FROM (SELECT doc_id, p, {T.chars_sql('p')} AS solid, {T.count_sql('p', CJK_CONTENT)} AS n FROM (SELECT doc_id, regexp_replace({MIXED}, '{LEADERS}', '', 'g') AS p FROM documents))")
 def d02_sanitized(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", sanitize_paragraph(F.expr(MIXED)).alias("clean"))
@@ -144,9 +122,9 @@ def d09_real_text(t: Tables) -> DataFrame:
 COMMON_HAN = "的一是在不了有和人这中大为上个国我以要他时来用们生到作地于出就分对成会可主发年动同工也能下过子说产种面而方后多定行学法所民得经十三之进着等部度家电力里如水化高自二理起小物现实加量都两体制机当使点从业本去把性好应开它合还因由其些然前外天政四日那社义事平形相全表间样与关各重新线内数正心反你明看原又么利比或但质气第向道命此变条只没结解问意建月公无系军很情者最立代想已通并提直题党程展五果料象员革位入常文总次品式活设及管特件长求老头基资边流路级少图山统接知较将组见计别她手角期根论运农指几九区强放决西被干做必战先回则任取据处队南给色光门即保治北造百规热领七海口东导器压志世金增争济阶油思术极交受联什认六共权收证改清己美再采转更单风切打白教速花带安场身车例真务具万每目至达走积示议声报斗完类八离华名确才科张信马节话米整空元况今集温传土许步群广石记需段研界拉林律叫且究观越织装影算低持音众书布复容儿须际商非验连断深难近矿千周委素技备半办青省列习响约支般史感劳便团往酸历市克何除消构府称太准精值号率族维划选标写存候毛亲快效斯院查江型眼王按格养易置派层片始却专状育厂京识适属圆包火住调满县局照参红细引听该铁价严字"
 
 
-@query(f"SELECT doc_id, cjk >= 8 AND cjk / greatest(n, 1) >= 0.7 AND common >= 2 AS real_cjk FROM (SELECT doc_id, length(x) AS n, {T.count_sql('x', '[\\x{4E00}-\\x{9FFF}]')} AS cjk, {T.count_sql('x', f'[{COMMON_HAN}]')} AS common FROM (SELECT doc_id, substring(regexp_replace(translate(text, 'aeioutrs', CASE WHEN doc_id % 2 = 0 THEN '中文字数统的是在' ELSE '鎌芁哅皜鎌芁哅皜' END), CASE WHEN doc_id % 3 = 0 THEN '[ -~]' ELSE '~' END, '', 'g'), 1, 60) AS x FROM documents))")
+@query(f"SELECT doc_id, cjk >= 8 AND cjk / greatest(n, 1) >= 0.7 AND common >= 2 AS real_cjk FROM (SELECT doc_id, length(x) AS n, {T.count_sql('x', '[\\x{4E00}-\\x{9FFF}]')} AS cjk, {T.count_sql('x', f'[{COMMON_HAN}]')} AS common FROM (SELECT doc_id, regexp_replace(translate(text, 'aeioutrs', CASE WHEN doc_id % 2 = 0 THEN '中文字数统的是在' ELSE '鎌芁哅皜鎌芁哅皜' END), CASE WHEN doc_id % 3 = 0 THEN '[ -~]' ELSE '~' END, '', 'g') AS x FROM documents))")
 def d10_real_han(t: Tables) -> DataFrame:
-    """Whole texts are judged; the SQL judges their first 60 characters."""
+    """Whole texts are judged."""
     swapped = F.when(F.col("doc_id") % 2 == 0, F.translate("text", "aeioutrs", "中文字数统的是在")).otherwise(F.translate("text", "aeioutrs", "鎌芁哅皜鎌芁哅皜"))
     x = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace(swapped, "[ -~]", "")).otherwise(F.regexp_replace(swapped, "~", ""))
     n, cjk, common = F.length("x"), T.count_of(F.col("x"), r"[\x{4E00}-\x{9FFF}]"), T.count_of(F.col("x"), f"[{COMMON_HAN}]")

@@ -242,8 +242,10 @@ def c20_cell_refs(t: Tables) -> DataFrame:
 
 
 NAME = "CASE o_orderkey % 6 WHEN 0 THEN md5(CAST(o_orderkey AS STRING)) WHEN 1 THEN concat('Sheet', o_custkey) WHEN 2 THEN concat('1-', o_orderkey % 50) WHEN 3 THEN concat('wc_', md5(CAST(o_custkey AS STRING))) WHEN 4 THEN concat('plan ', o_orderpriority, '.pdf') ELSE concat('a', o_orderkey % 10) END"
-HASH = r"^[a-fA-F0-9]{16,}$|^[a-fA-F0-9]{8}-([a-fA-F0-9]{4}-){3}[a-fA-F0-9]{12}$|^(wc_|file_)[0-9a-f]{10,}"
-NUMBERED_NAME = r"^\d+[)-]\d+\)?$|^\d+[)-]\d+\)\(\d+\)$|^[\p{L}\p{N}]{0,3}$|^(?i:Sheet|Doc|Document|File|Image|Pic|图|档|表|页)\d*$"
+# Names that are hashes, with and without a prefix, and names that tell nothing, by kind.
+HASHES = [r"^[a-fA-F0-9]{16,}$", r"^[a-fA-F0-9]{8}-([a-fA-F0-9]{4}-){3}[a-fA-F0-9]{12}$", r"^(wc_|file_)[0-9a-f]{10,}"]
+GENERIC = [r"^\d+[)-]\d+\)?$", r"^\d+[)-]\d+\)\(\d+\)$", r"^[\p{L}\p{N}]{0,3}$", r"^(?i:Sheet|Doc|Document|File|Image|Pic|图|档|表|页)\d*$"]
+HASH, NUMBERED_NAME = "|".join(HASHES), "|".join(GENERIC)
 
 
 def name_flags(name):
@@ -258,6 +260,22 @@ def c21_name_heuristics(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.expr(NAME).alias("name")).select("o_orderkey", "name", a.alias("hash_like"), b.alias("suspicious"), c.alias("generic"))
 
 
+def name_hash(name):
+    """A stable hash of a name: 31 times what came before plus each UTF-16 unit, in 32 bits without sign."""
+    raw = F.hex(F.encode(name, "UTF-16BE"))
+    units = F.transform(F.sequence(F.lit(0), F.greatest(F.length(raw) / 4 - 1, F.lit(0)).cast("int")), lambda i: F.coalesce(F.conv(raw.substr(4 * i + 1, F.lit(4)), 16, 10).cast("bigint"), F.lit(0)))
+    wrapped = lambda x: F.abs(F.pmod(x + (1 << 31), F.lit(1 << 32)) - (1 << 31))
+    return F.aggregate(units, F.lit(0).cast("bigint"), lambda h, c: F.when(wrapped(31 * h + c) == 1 << 31, 0).otherwise(wrapped(31 * h + c)))
+
+
+_WRAPPED = f"abs((31 * h + c + {1 << 31}) % {1 << 32} - {1 << 31})"
+
+
+@query(f"SELECT o_orderkey, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(name, ''), lambda x: CAST(ord(x) AS BIGINT))), lambda h, c: CASE WHEN {_WRAPPED} = {1 << 31} THEN 0 ELSE {_WRAPPED} END) AS hash FROM (SELECT o_orderkey, {NAME.replace('STRING', 'VARCHAR')} AS name FROM orders)")
+def c26_name_hash(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey", name_hash(F.expr(NAME)).alias("hash"))
+
+
 def clean_mtext(c):
     """Drawing text without its formatting codes."""
     for code, plain in (("\\P", "\n"), ("\\p", "\n"), ("\\~", " "), ("\\^I", " "), ("\\^J", " ")):

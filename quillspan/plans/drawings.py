@@ -14,6 +14,7 @@ from quillspan.plans.files import LINES_SQL, _counted, zipped
 from quillspan.plans.grouping import LINES
 from quillspan.plans.registry import Tables, query
 from quillspan.sources import carving
+from quillspan.sources.drawing import LEAST_COMMON, chosen_coding, recovered
 from quillspan.sources.pdf import count_pages
 
 # Snap and least size of frames, and how far one may reach out of another.
@@ -149,12 +150,6 @@ def a27_carved_texts(t: Tables) -> DataFrame:
     return _per_document(t, made, {"doc_id": pa.int64(), "kind": pa.string(), "text": pa.string()}, "doc_id bigint, kind string, text string")
 
 
-def chosen_coding(data: bytes) -> str:
-    """GB18030 if read so the bytes hold more than twice the Chinese characters that they hold as UTF-8."""
-    wide, narrow = (sum("㐀" <= c <= "鿿" for c in data.decode(x, "replace")) for x in ("gb18030", "utf-8"))
-    return "GB18030" if wide > 2 * narrow else "UTF-8"
-
-
 @query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND {T.count_sql(T.HAN_SQL, f'[{T.HAN}]')} > 0 THEN 'GB18030' ELSE 'UTF-8' END AS coding FROM documents")
 def e12_coding_vote(t: Tables) -> DataFrame:
     """Even documents in GB18030, odd ones in UTF-8, without accented letters, which read like Chinese in the other coding."""
@@ -162,6 +157,17 @@ def e12_coding_vote(t: Tables) -> DataFrame:
     return _per_document(t, made, {"doc_id": pa.int64(), "coding": pa.string()}, "doc_id bigint, coding string")
 
 
+PLAIN_HAN = T.HAN_SQL.replace("text", "regexp_replace(text, '[^\\x{00}-\\x{7F}]', '', 'g')")
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND {T.count_sql(PLAIN_HAN, '中')} >= {LEAST_COMMON} THEN {PLAIN_HAN} END AS recovered FROM documents")
+def o08_recovered(t: Tables) -> DataFrame:
+    """Even documents in GB18030 that was read as Latin-1; of the characters put in, one is frequent."""
+    plain = lambda text: text.encode("ascii", "ignore").decode()
+    made = lambda i, text: [(i, recovered(plain(text) if i % 2 else _with_han(plain(text)).encode("gb18030").decode("latin-1")))]
+    return _per_document(t, made, {"doc_id": pa.int64(), "recovered": pa.string()}, "doc_id bigint, recovered string")
+
+
 def unseen_fragments(body: str, fragments: list[str]) -> list[str]:
     """Fragments that, without white space, occur neither in the body nor in those taken before."""
     seen, out = "".join(body.split()), []

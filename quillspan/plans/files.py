@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -48,6 +49,47 @@ def built_pdf(pages: list[list[str]]) -> bytes:
     return b"".join(out)
 
 
+def built_compound(parts: dict[str, bytes]) -> bytes:
+    """A compound file with some streams, each filled up to whole sectors of 512 bytes and to 4,096 bytes at least."""
+    filled = {n: b.ljust(max(4096, -(-len(b) // 512) * 512), b"\0") for n, b in parts.items()}
+    n_dir = -(-(1 + len(parts)) // 4)
+    n_body = sum(len(b) // 512 for b in filled.values())
+    n_fat = 1
+    while n_fat * 128 < n_fat + n_dir + n_body:
+        n_fat += 1
+    if n_fat > 109:
+        raise ValueError("too large for a header's list of sectors")
+    table = [0xFFFFFFFD] * n_fat + [*range(n_fat + 1, n_fat + n_dir), 0xFFFFFFFE]
+    name = lambda s: s.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<H", 2 * len(s) + 2)
+    none, entries = 0xFFFFFFFF, []
+    for k, (n, b) in enumerate(filled.items()):
+        entries.append(name(n) + struct.pack("<BBIII36xII4x", 2, 1, none, k + 2 if k + 1 < len(filled) else none, none, len(table), len(b)))
+        table += [*range(len(table) + 1, len(table) + len(b) // 512), 0xFFFFFFFE]
+    root = name("Root Entry") + struct.pack("<BBIII36xII4x", 5, 1, none, none, 1 if entries else none, 0xFFFFFFFE, 0)
+    header = bytes.fromhex("D0CF11E0A1B11AE1") + bytes(16) + struct.pack("<HHHHH6xIIIIIIIII", 0x3E, 3, 0xFFFE, 9, 6, 0, n_fat, n_fat, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0)
+    header += struct.pack("<109I", *range(n_fat), *[none] * (109 - n_fat))
+    fat = struct.pack(f"<{n_fat * 128}I", *table, *[none] * (n_fat * 128 - len(table)))
+    return header + fat + b"".join([root, *entries]).ljust(512 * n_dir, b"\0") + b"".join(filled.values())
+
+
+def built_doc(lines: list[str]) -> bytes:
+    """A legacy document of one piece."""
+    text = "".join(f"{s}\r" for s in lines)
+    raw = text.encode("utf-16-le")
+    main = bytearray(1024)
+    struct.pack_into("<H8xH", main, 0, 0xA5EC, 0x0200)
+    plc = struct.pack("<IIHIH", 0, len(raw) // 2, 0, 1024, 0)
+    clx = b"\x02" + struct.pack("<I", len(plc)) + plc
+    struct.pack_into("<II", main, 418, 0, len(clx))
+    return built_compound({"WordDocument": bytes(main) + raw, "1Table": clx})
+
+
+def built_ppt(lines: list[str]) -> bytes:
+    """A legacy presentation with a slide for each line."""
+    atom = lambda kind, body, version=0: struct.pack("<HHI", version, kind, len(body)) + body
+    return built_compound({"PowerPoint Document": b"".join(atom(0x03EE, atom(0x0FA0, s.encode("utf-16-le")), 15) for s in lines)})
+
+
 def built_file(ext: str, lines: list[str]) -> bytes:
     """A small file of a format that holds the lines."""
     if ext == "docx":
@@ -58,6 +100,10 @@ def built_file(ext: str, lines: list[str]) -> bytes:
         return zipped({"ppt/slides/slide1.xml": "<s xmlns:a='a'>" + "".join(f"<a:p><a:r><a:t>{_safe(s)}</a:t></a:r></a:p>" for s in lines) + "</s>"})
     if ext == "pdf":
         return built_pdf([lines[i : i + 40] for i in range(0, max(len(lines), 1), 40)])
+    if ext == "doc":
+        return built_doc(lines)
+    if ext == "ppt":
+        return built_ppt(lines)
     if ext == "dxf":
         return "".join(f"0\nTEXT\n1\n{s}\n" for s in lines).encode() + b"0\nEOF\n"
     if ext == "zip":
@@ -89,11 +135,23 @@ def a13_docx(t: Tables) -> DataFrame:
     return _counted(t, "docx")
 
 
-@query()
+@query(LINES_SQL)
 def a16_xlsx(t: Tables) -> DataFrame:
     return _counted(t, "xlsx")
 
 
+@query(LINES_SQL)
+def a19_doc(t: Tables) -> DataFrame:
+    """Lines as paragraphs of legacy documents."""
+    return _counted(t, "doc")
+
+
+@query(LINES_SQL)
+def o29_ppt(t: Tables) -> DataFrame:
+    """Lines as slides of legacy presentations."""
+    return _counted(t, "ppt")
+
+
 @query(LINES_SQL)
 def a18_pptx(t: Tables) -> DataFrame:
     return _counted(t, "pptx")
@@ -166,13 +224,16 @@ def near_line_dedup(lines: DataFrame, by: str) -> DataFrame:
     """Lines of each group in order, without those whose key was met, or lies within a longer kept one or around a kept one."""
 
     def each(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[str] = []
+        kept, lengths, joined = set(), set(), ""
         take = []
         for key in rows.sort_values("pos")["key"]:
-            same = any(key in k or (k and k in key) for k in kept) if key else True
-            take.append(not same)
-            if not same:
-                kept.append(key)
+            # parts of the key by the lengths that occur, so that no two lines are compared
+            new = bool(key) and key not in joined and not any(key[i : i + n] in kept for n in lengths if n < len(key) for i in range(len(key) - n + 1))
+            take.append(new)
+            if new:
+                kept.add(key)
+                lengths.add(len(key))
+                joined += key + "\n"
         return rows.sort_values("pos")[take].drop(columns=["key"])
 
     keyed = lines.withColumn("key", line_key(F.col("line")))

@@ -61,9 +61,38 @@ def b06_archive_rollup(t: Tables) -> DataFrame:
     return _metrics(t).groupBy(F.col("source").alias("archive")).agg(F.count_if(ok).alias("members"), F.count_if(~ok).alias("failed"), F.sum(F.when(ok, F.col("words"))).alias("words"), F.sum(F.when(ok, pages)).alias("pages"))
 
 
-@query("SELECT o_custkey, count(DISTINCT nullif(regexp_extract(upper('t' || o_orderkey), '\\d{4,6}'), '')) AS sheets FROM orders GROUP BY 1")
+# Attributes that hold a sheet's number, those that surely do, and those that hold a title; names of blocks that are title blocks or details.
+NUMBER_TAGS = "SHEET_NUMBER|图号|页号|DWGNO|NO|PAGE|SHEET|DRAWING_NO|图纸编号|图纸|SOUZAITU|SUOZAI|所在图"
+SURE_TAGS = "SHEET_NUMBER|图号|页号|DRAWING_NO|图纸编号"
+TITLE_TAGS = "DRAWING_TITLE|图名|标题|TITLE|NAME"
+TITLE_BLOCKS = "图框|边框|幅面|图纸|标题栏|会签栏|签名栏|FRAME|FRM|BORDER|BORD|TITLE|TBAR|TB|SHEET|FORMAT|GB|国标"
+DETAIL_BLOCKS = "大样|节点|DETAIL|CALL|CALLOUT|NOTE|局部|NOSING|标高|型材|SECTION|DET|局部放大|索引|放大|详图|节点详图|大样图|详图索引"
+
+
+def sheet_numbers(attributes: DataFrame) -> DataFrame:
+    """How many different sheets the title blocks of each file name, of a table of file, insert, block, tag and text.
+
+    An inserted block counts if one of its tags is for a number and has a text, and it is a detail, or it is a title
+    block by its name, by a tag for a title, or by a tag that surely is for a number. Numbers are told apart by their
+    first four to six digits.
+    """
+    tagged = lambda tags: F.col("tag").rlike(f"(?i){tags}")
+    numbers = F.collect_set(F.when(tagged(NUMBER_TAGS), sheet_code(F.nullif(F.trim("text"), F.lit("")))))
+    per = attributes.groupBy("file", "insert", "block").agg(numbers.alias("codes"), F.bool_or(tagged(TITLE_TAGS) | tagged(SURE_TAGS)).alias("named"))
+    counts = F.col("named") | F.col("block").rlike(f"(?i){DETAIL_BLOCKS}|{TITLE_BLOCKS}")
+    return per.groupBy("file").agg(F.collect_set(F.when(counts, F.col("codes"))).alias("x")).select("file", F.size(F.array_distinct(F.flatten("x"))).cast("bigint").alias("sheets"))
+
+
+#: Order lines as attributes: each order inserts a block into the file of its supplier.
+ATTRIBUTES = "(SELECT l_suppkey AS file, l_orderkey AS insert_, list_extract(['A1 FRAME', 'Detail 3', 'X12', 'window', '图框'], CAST(l_orderkey % 5 + 1 AS INTEGER)) AS block, list_extract(['SCALE', 'NO', 'DRAWING_NO', 'Title', 'PAGE', 'BY', '页号'], CAST(l_linenumber AS INTEGER)) AS tag, CASE WHEN l_partkey % 9 = 0 THEN ' ' ELSE 't' || (l_partkey % 700 + 900) END AS text FROM lineitem)"
+
+
+@query(f"SELECT file, count(DISTINCT code) FILTER (WHERE named OR regexp_matches(block, '(?i){DETAIL_BLOCKS}|{TITLE_BLOCKS}')) AS sheets FROM (SELECT *, CASE WHEN regexp_matches(tag, '(?i){NUMBER_TAGS}') THEN nullif(regexp_extract(upper(trim(text)), '\\d{{4,6}}'), '') END AS code, bool_or(regexp_matches(tag, '(?i){TITLE_TAGS}|{SURE_TAGS}')) OVER (PARTITION BY file, insert_, block) AS named FROM {ATTRIBUTES}) GROUP BY 1")
 def e06_distinct_sheets(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_custkey").agg(F.count_distinct(sheet_code(F.concat(F.lit("t"), "o_orderkey"))).alias("sheets"))
+    each = lambda names, at: F.element_at(F.array(*map(F.lit, names)), at.cast("int"))
+    blocks, tags = ["A1 FRAME", "Detail 3", "X12", "window", "图框"], ["SCALE", "NO", "DRAWING_NO", "Title", "PAGE", "BY", "页号"]
+    text = F.when(F.col("l_partkey") % 9 == 0, " ").otherwise(F.concat(F.lit("t"), F.col("l_partkey") % 700 + 900))
+    return sheet_numbers(t.lineitem.select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("insert"), each(blocks, F.col("l_orderkey") % 5 + 1).alias("block"), each(tags, F.col("l_linenumber")).alias("tag"), text.alias("text")))
 
 
 @query("SELECT l_suppkey, count(DISTINCT (round_even(l_quantity / 8, 0), round_even(l_partkey / 256, 0))) AS cells FROM lineitem GROUP BY 1")
@@ -117,11 +146,11 @@ def f02_keep_repeats(t: Tables) -> DataFrame:
 FRAGMENTS = "(SELECT l_suppkey, list_distinct(list(l_returnflag || l_linestatus || l_linenumber || (l_partkey % 3))) AS x FROM lineitem GROUP BY 1)"
 
 
-@query(f"SELECT a.l_suppkey AS a, b.l_suppkey AS b, len(list_intersect(a.x, b.x)) / (len(a.x) + len(b.x) - len(list_intersect(a.x, b.x))) >= 0.97 AS same FROM {FRAGMENTS} a JOIN {FRAGMENTS} b ON a.l_suppkey // 4 = b.l_suppkey // 4 AND a.l_suppkey < b.l_suppkey")
+@query(f"SELECT a.l_suppkey AS a, b.l_suppkey AS b, len(a.x) AS na, len(b.x) AS nb FROM {FRAGMENTS} a JOIN {FRAGMENTS} b ON a.l_suppkey < b.l_suppkey AND 100 * len(list_intersect(a.x, b.x)) >= 97 * (len(a.x) + len(b.x) - len(list_intersect(a.x, b.x)))")
 def f05_same_objects(t: Tables) -> DataFrame:
-    sets = t.lineitem.groupBy("l_suppkey").agg(F.collect_set(F.concat("l_returnflag", "l_linestatus", "l_linenumber", F.col("l_partkey") % 3)).alias("x"))
-    a, b = sets.select(F.col("l_suppkey").alias("a"), F.col("x").alias("ax"), F.expr("l_suppkey div 4").alias("g")), sets.select(F.col("l_suppkey").alias("b"), F.col("x").alias("bx"), F.expr("l_suppkey div 4").alias("g"))
-    return a.join(b, "g").where("a < b").select("a", "b", (F.size(F.array_intersect("ax", "bx")) / F.size(F.array_union("ax", "bx")) >= 0.97).alias("same"))
+    """Pairs of objects whose fragments agree by 97 % or more, with their sizes, of which the larger one counts."""
+    pieces = t.lineitem.select("l_suppkey", F.concat("l_returnflag", "l_linestatus", "l_linenumber", F.col("l_partkey") % 3).alias("p")).distinct()
+    return S.similar_sets(pieces, "l_suppkey", "p", 97).select("a", "b", F.col("na").cast("bigint").alias("na"), F.col("nb").cast("bigint").alias("nb"))
 
 
 CELLS = "(SELECT l_suppkey AS book, l_orderkey AS sheet, l_linenumber AS row, l_returnflag || l_linestatus AS val FROM lineitem)"
@@ -147,8 +176,7 @@ def _rects(t: Tables) -> DataFrame:
 
 def _dropped(rects: DataFrame, inside: str) -> DataFrame:
     """Rectangles for which no larger one (of equal ones the earlier) of their file stands in the given relation."""
-    a, b = rects.alias("a"), rects.alias("b")
-    return a.join(b, F.expr(f"a.file = b.file AND (b.area > a.area OR (b.area = a.area AND b.id < a.id)) AND {inside}"), "left_anti")
+    return rects.join(S.held_rectangles(rects, inside), ["file", "id"], "left_anti")
 
 
 AREAS = f"(SELECT *, (x1 - x0) * (y1 - y0) AS area FROM {RECTS})"
@@ -195,20 +223,35 @@ def g01_equal_blocks(t: Tables) -> DataFrame:
 
 
 def contained_in(blocks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Each block's first document that contains it.
+    """Each block's first document that contains it; none for a block without text.
 
-    A block's second to fourth words stand whole wherever it is contained, so that they serve as the key of an equi-join
-    with the trigrams of all documents; blocks of fewer than five words have no such key and are compared with each text.
+    Words inside a block stand whole wherever it is contained, so they serve as keys of equi-joins: the second to fourth
+    one, or of a block of three or four words the longer one inside. Of two words the first ends a word of the document,
+    and a single one is part of a word; so ends or parts of the documents' words of just the lengths that such blocks
+    have are keys for them.
     """
-    words = blocks.select("item_id", F.col("text").alias("part"), F.split("text", " ", -1).alias("w"))
-    keyed = words.where("size(w) >= 5").select("item_id", "part", F.array_join(F.slice("w", 2, 3), " ").alias("key"))
-    w = F.split("text", " ", -1)
+    words = blocks.where("text <> ''").select("item_id", F.col("text").alias("part"), F.split("text", " ", -1).alias("w"))
+    n, w = F.size("w"), F.split("text", " ", -1)
+    longer = F.when((n == 4) & (F.length(F.get("w", F.lit(2))) > F.length(F.get("w", F.lit(1)))), F.get("w", F.lit(2))).otherwise(F.get("w", F.lit(1)))
+    key = F.when(n >= 5, F.array_join(F.slice("w", 2, 3), " ")).when(n >= 3, longer).otherwise(F.get("w", F.lit(0)))
+    kind = F.when(n >= 5, "run").when(n >= 3, "word").when(n == 2, "end").otherwise("part")
+    keyed = words.select("item_id", "part", kind.alias("kind"), key.alias("key"))
+    lengths = {k: sorted(r["n"] for r in keyed.where(F.col("kind") == k).select(F.length("key").alias("n")).distinct().collect()) for k in ("word", "end", "part")}
     grams = F.zip_with(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 2), F.slice(w, F.lit(2), F.size(w) - 2), lambda a, b: F.concat_ws(" ", a, b)), F.slice(w, F.lit(3), F.size(w) - 2), lambda a, b: F.concat_ws(" ", a, b))
-    each = documents.where(F.size(w) >= 3).select("doc_id", F.explode(F.array_distinct(grams)).alias("key"))
-    near = each.join(keyed, "key").select("item_id", "part", "doc_id")
-    found = documents.select("doc_id", "text").join(near, "doc_id").where(F.contains("text", "part")).select("item_id", "doc_id")
-    short = documents.join(words.where("size(w) < 5").select("item_id", "part"), F.contains("text", "part")).select("item_id", "doc_id")
-    return found.unionByName(short).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    each = documents.where(F.size(w) >= 3).select("doc_id", F.lit("run").alias("kind"), F.explode(F.array_distinct(grams)).alias("key"))
+    word = documents.select("doc_id", F.explode(F.array_distinct(w)).alias("key"))
+    if lengths["word"]:
+        each = each.unionByName(word.where(F.length("key").isin(lengths["word"])).select("doc_id", F.lit("word").alias("kind"), "key"))
+    of_length = lambda start: lambda k: F.when(F.length("key") >= k, start(k))
+    if lengths["end"]:
+        ends = F.array_distinct(F.array(*[of_length(lambda k: F.right("key", F.lit(k)))(k) for k in lengths["end"]]))
+        each = each.unionByName(word.select("doc_id", F.lit("end").alias("kind"), F.explode(ends).alias("key")).where("key is not null"))
+    if lengths["part"]:
+        parts = lambda k: F.when(F.length("key") >= k, F.transform(F.sequence(F.lit(1), F.length("key") - k + 1), lambda i: F.col("key").substr(i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+        each = each.unionByName(word.select("doc_id", F.lit("part").alias("kind"), F.explode(F.array_distinct(F.concat(*map(parts, lengths["part"])))).alias("key")))
+    near = each.join(keyed, ["kind", "key"]).select("item_id", "part", "doc_id").distinct()
+    found = documents.select("doc_id", "text").join(near, "doc_id").where(F.contains("text", "part"))
+    return found.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
 
 
 @query("SELECT item_id, min(doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
@@ -231,7 +274,8 @@ OVERLAPS = "list_max(list_filter(range(6, 31), lambda k: length(o.text) >= k AND
 @query(f"SELECT o.pair, CAST(o.pos AS INTEGER) AS oi, CAST(r.pos AS INTEGER) AS rj FROM {LEFT_SQL} o JOIN {LEFT_SQL} r ON o.pair = r.pair AND o.side = 0 AND r.side = 1 AND abs(o.pos - r.pos) <= 2 AND {OVERLAPS} >= 6")
 def g04_near_overlaps(t: Tables) -> DataFrame:
     left, right = _unmatched(t)
-    near = left.select("pair", F.col("pos").alias("oi"), F.col("text").alias("a")).join(right.select("pair", F.col("pos").alias("rj"), F.col("text").alias("b")), "pair").where("abs(oi - rj) <= 2")
+    around = F.explode(F.sequence(F.col("pos") - 2, F.col("pos") + 2)).alias("rj")
+    near = left.select("pair", F.col("pos").alias("oi"), F.col("text").alias("a"), around).join(right.select("pair", F.col("pos").alias("rj"), F.col("text").alias("b")), ["pair", "rj"])
     meets = F.exists(F.sequence(F.lit(6), F.lit(30)), lambda k: (F.length("a") >= k) & (F.length("b") >= k) & ((F.right("a", k) == F.left("b", k)) | (F.right("b", k) == F.left("a", k))))
     return near.where(meets).select("pair", "oi", "rj")
 
@@ -325,9 +369,12 @@ def a22_drawing_texts(t: Tables) -> DataFrame:
     return _texts(t)
 
 
-@query(f"SELECT * FROM {TEXTS}")
+@query(f"SELECT file, CAST(entity AS BIGINT) AS entity, coalesce(string_agg(value, '' ORDER BY pos) FILTER (WHERE code IN ('1', '3')), string_agg(value, '' ORDER BY pos) FILTER (WHERE code = '8')) AS text FROM {NUMBERED} WHERE entity > 0 GROUP BY 1, 2 HAVING count(*) FILTER (WHERE code <> '0') > 0")
 def o07_entity_texts(t: Tables) -> DataFrame:
-    return _texts(t)
+    """Texts of dimensions: what is written over them, else what they measure, for which code 8 stands."""
+    held = lambda *codes: F.array_join(F.sort_array(F.collect_list(F.when(F.col("code").isin(*codes), F.struct("pos", "value"))))["value"], "")
+    per = _entities(t).where("entity > 0 and code <> '0'").groupBy("file", "entity").agg(held("1", "3").alias("written"), held("8").alias("measured"), F.count_if(F.col("code").isin("1", "3")).alias("n"))
+    return per.select("file", "entity", F.when(F.col("n") > 0, F.col("written")).otherwise(F.col("measured")).alias("text"))
 
 
 @query(f"SELECT file, text, min(entity) AS entity FROM {TEXTS} GROUP BY 1, 2")
@@ -349,7 +396,7 @@ def h08_tag_depth(t: Tables) -> DataFrame:
 @query("SELECT page_id, row_number() OVER (ORDER BY CAST(coalesce(nullif(regexp_extract(url, '\\d+'), ''), '0') AS BIGINT) % 1000000, page_id) AS place FROM pages")
 def i01_numeric_order(t: Tables) -> DataFrame:
     number = F.coalesce(F.nullif(F.regexp_extract("url", r"\d+", 0), F.lit("")), F.lit("0")).cast("bigint") % 1_000_000
-    return t.pages.select("page_id", F.row_number().over(Window.orderBy(number, "page_id")).cast("bigint").alias("place"))
+    return S.numbered(t.pages.select("page_id", number.alias("n")), F.col("n") * (1 << 43) + F.col("page_id"), "place").select("page_id", "place")
 
 
 @query("SELECT l_suppkey, l_orderkey, l_linenumber, k FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS k FROM lineitem) WHERE k <= 20")

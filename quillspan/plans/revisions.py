@@ -30,7 +30,7 @@ def per_pair(original: DataFrame, revised: DataFrame, rows: Callable[[list[str],
 @query()
 def g06_document_order(t: Tables) -> DataFrame:
     def rows(a: list[str], b: list[str]) -> list[tuple]:
-        return [(k, *op) for k, op in enumerate(D.in_document_order(D.align(a, b), len(a), len(b)))]
+        return [(k, *op) for k, op in enumerate(D.in_document_order(D.align(a, b)))]
 
     return per_pair(*_pairs(t), rows, "pair bigint, seq int, tag string, oi int, rj int")
 

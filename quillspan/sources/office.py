@@ -15,9 +15,14 @@ from xml.etree import ElementTree
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillspan.functions.layers import is_poisoned, sanitize_paragraph
 from quillspan.functions.text import PLACEHOLDERS
 from quillspan.sources.carving import carved_units
+from quillspan.sources.compound import doc_units, ppt_units, xls_units
+from quillspan.sources.drawing import dxf_units
+from quillspan.sources.packed import rar_members, seven_members
 from quillspan.sources.pdf import pdf_units
 
 #: Archives inside archives are opened down to this depth, and members up to this size.
@@ -95,7 +100,7 @@ def _column(ref: str) -> int:
     return out - 1
 
 
-def _dated(value: str) -> str:
+def dated(value: str) -> str:
     try:
         v = float(value)
     except ValueError:
@@ -121,11 +126,20 @@ def xlsx_units(data: bytes) -> Iterator[dict]:
             for cell in (x for x in ElementTree.fromstring(z.read(path)).iter() if _name(x.tag) == "c"):
                 kind, ref = cell.attrib.get("t", "n"), cell.attrib.get("r", "A1")
                 value = next((x.text or "" for x in cell if _name(x.tag) == "v"), "")
-                text = _own_text(cell) if kind == "inlineStr" else shared[int(value)] if kind == "s" and value else value if kind in ("str", "b", "e") else _dated(value)
+                text = _own_text(cell) if kind == "inlineStr" else shared[int(value)] if kind == "s" and value else value if kind in ("str", "b", "e") else dated(value)
                 if text.strip():
                     yield {"kind": "cell", "sheet": sheet.attrib.get("name"), "hidden": sheet.attrib.get("state", "visible") != "visible", "row": int(re.search(r"\d+$", ref)[0]) - 1, "col": _column(ref), "text": text.strip()}
 
 
+def active_sheet(data: bytes) -> str | None:
+    """The name of the sheet that a workbook shows."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        root = ElementTree.fromstring(z.read("xl/workbook.xml"))
+    shown = next((int(v) for x in root.iter() if (v := x.attrib.get("activeTab", "")).isdigit()), 0)
+    names = [x.attrib.get("name") for x in root.iter() if _name(x.tag) == "sheet"]
+    return names[shown] if shown < len(names) else None
+
+
 def pptx_units(data: bytes) -> Iterator[dict]:
     """Paragraphs of the slides by number, then of their notes, which count as hidden."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -138,32 +152,8 @@ def pptx_units(data: bytes) -> Iterator[dict]:
                         yield {"kind": "note" if hidden else "p", "sheet": str(number), "hidden": hidden, "text": text}
 
 
-def _plain_mtext(s: str) -> str:
-    s = re.sub(r"\\[Uu]\+([0-9A-Fa-f]{4})", lambda m: chr(int(m[1], 16)), s)
-    s = re.sub(r"\\[Pp]", "\n", s).replace("\\~", " ")
-    return re.sub(r"[{}\\]", "", re.sub(r"\\[A-Za-z][^;{}]*;", "", s))
-
-
-def dxf_units(data: bytes) -> Iterator[dict]:
-    """Texts of a drawing's records, in order and as often as they occur."""
-    lines = data.decode("utf-8", "replace").splitlines()
-    kind, parts = "", []
-
-    def done():
-        text = _plain_mtext("".join(v for _, v in parts)) if kind in ("TEXT", "ATTRIB", "ATTDEF", "MTEXT", "MULTILEADER") else ""
-        return [{"kind": kind.lower(), "text": t.strip()} for t in text.split("\n") if t.strip()]
-
-    for code, value in zip(lines[::2], lines[1::2], strict=False):
-        if code.strip() == "0":
-            yield from done()
-            kind, parts = value.strip(), []
-        elif code.strip() in ("1", "3", "304"):
-            parts.append((code.strip(), value))
-    yield from done()
-
-
 #: What reads a file, by its extension. More can be put in.
-EXTRACTORS = {"txt": text_units, "md": text_units, "csv": text_units, "docx": docx_units, "xlsx": xlsx_units, "xlsm": xlsx_units, "pptx": pptx_units, "dxf": dxf_units, "pdf": pdf_units, "dwg": carved_units}
+EXTRACTORS = {"txt": text_units, "md": text_units, "csv": text_units, "docx": docx_units, "xlsx": xlsx_units, "xlsm": xlsx_units, "pptx": pptx_units, "doc": doc_units, "xls": xls_units, "ppt": ppt_units, "dxf": dxf_units, "pdf": pdf_units, "dwg": carved_units}
 
 
 def _repaired(info: zipfile.ZipInfo) -> str:
@@ -184,29 +174,37 @@ def _unsafe(name: str) -> bool:
     return name.startswith(("/", "\\")) or ".." in parts or bool(re.match("[A-Za-z]:", name))
 
 
-def members(name: str, data: bytes) -> Iterator[tuple[str, bytes | None]]:
-    """Names and bytes of an archive's files, no bytes for one that is too large. Members that would leave the archive's folder are left out."""
-    low = name.lower()
+def members(name: str, data: bytes) -> Iterator[tuple[str, bytes | str]]:
+    """Names and bytes of an archive's files, or why one isn't read: it is too large, packed in a way that isn't known, or would leave the archive's folder."""
+    for inner, body in _members(name, data):
+        yield inner, "leaves the archive's folder" if _unsafe(inner) else body
+
+
+def _members(name: str, data: bytes) -> Iterator[tuple[str, bytes | str]]:
+    low, large = name.lower(), f"larger than {MOST_BYTES} bytes"
     if low.endswith(".zip"):
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for info in z.infolist():
-                inner = _repaired(info)
-                if not info.is_dir() and not _unsafe(inner):
-                    yield inner, z.read(info) if info.file_size <= MOST_BYTES else None
+                if not info.is_dir():
+                    yield _repaired(info), large if info.file_size > MOST_BYTES else "encrypted" if info.flag_bits & 1 else z.read(info)
+    elif low.endswith(".7z"):
+        yield from seven_members(data, MOST_BYTES)
+    elif low.endswith(".rar"):
+        yield from rar_members(data, MOST_BYTES)
     elif re.search(r"\.(tar|tar\.gz|tgz|tar\.bz2|tbz2|tar\.xz|txz)$", low):
         with tarfile.open(fileobj=io.BytesIO(data)) as t:
             for info in t:
-                if info.isfile() and not _unsafe(info.name):
-                    yield info.name, t.extractfile(info).read() if info.size <= MOST_BYTES else None
+                if info.isfile():
+                    yield info.name, t.extractfile(info).read() if info.size <= MOST_BYTES else large
     else:
         read = {"gz": gzip.open, "bz2": bz2.open, "xz": lzma.open}[low.rpartition(".")[2]]
         with read(io.BytesIO(data)) as f:
             body = f.read(MOST_BYTES + 1)
-            yield name.rpartition(".")[0].rpartition("/")[2], body if len(body) <= MOST_BYTES else None
+            yield name.rpartition(".")[0].rpartition("/")[2], body if len(body) <= MOST_BYTES else large
 
 
 def is_archive(name: str) -> bool:
-    return bool(re.search(r"\.(zip|tar|gz|tgz|bz2|tbz2|xz|txz)$", name.lower()))
+    return bool(re.search(r"\.(zip|7z|rar|tar|gz|tgz|bz2|tbz2|xz|txz)$", name.lower()))
 
 
 def file_units(path: str, data: bytes, member: str = "", depth: int = 0) -> Iterator[dict]:
@@ -219,8 +217,8 @@ def file_units(path: str, data: bytes, member: str = "", depth: int = 0) -> Iter
                 raise ValueError("nested too deeply")
             for inner, body in members(name, data):
                 within = f"{member}/{inner}".lstrip("/")
-                if body is None:
-                    yield base | {"member": within, "depth": depth + 1, "ok": False, "error": f"ValueError: larger than {MOST_BYTES} bytes"}
+                if isinstance(body, str):
+                    yield base | {"member": within, "depth": depth + 1, "ok": False, "error": f"ValueError: {body}"}
                 else:
                     yield from file_units(path, body, within, depth + 1)
             return
@@ -245,7 +243,29 @@ def units_of_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(each, UNIT_SCHEMA)
 
 
-def read_units(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """Text units of all files below a folder. Contents are read where they are extracted, without a shuffle."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).load(folder)
-    return units_of_files(files)
+def clean_layers(units: DataFrame) -> DataFrame:
+    """Units without the mojibake of text layers of PDF files, and those layers' other units without stray East-Asian characters and leader dots. Texts that nothing is left of go."""
+    of_pdf = F.lower(F.when(F.col("member") != "", F.col("member")).otherwise(F.col("path"))).endswith(".pdf") & (F.col("kind") == "p")
+    kept = units.where(~F.coalesce(of_pdf & is_poisoned(F.col("text")), F.lit(False)))
+    return kept.withColumn("text", F.when(of_pdf, sanitize_paragraph(F.col("text"))).otherwise(F.col("text"))).where("not (kind = 'p' and text = '')")
+
+
+def collected_inputs(spark: SparkSession, inputs: list[str], recursive: bool = True) -> list[str]:
+    """Folders and files that some paths and patterns name, each once, without what lies in another of these folders. Only paths reach the driver."""
+    conf, found = spark._jsc.hadoopConfiguration(), {}
+    for given in inputs:
+        path = spark._jvm.org.apache.hadoop.fs.Path(given)
+        for status in path.getFileSystem(conf).globStatus(path) or ():
+            found[status.getPath().toString()] = status.isDirectory()
+    folders = {p for p, is_folder in found.items() if is_folder}
+    within = lambda p: [q for q in (p[:k] for k in range(len(p)) if p[k] == "/") if q in folders]
+    held = lambda p, is_folder: within(p) if recursive else [q for q in within(p) if not is_folder and q == p.rpartition("/")[0]]
+    return sorted(p for p, is_folder in found.items() if not held(p, is_folder))
+
+
+def read_units(spark: SparkSession, inputs: str | list[str], pattern: str = "*", recursive: bool = True) -> DataFrame:
+    """Text units of all files that some paths and patterns name, or below folders, each file once. Contents are read where they are extracted, without a shuffle. ValueError if nothing is found."""
+    paths = collected_inputs(spark, [inputs] if isinstance(inputs, str) else inputs, recursive)
+    if not paths:
+        raise ValueError(f"no files: {inputs}")
+    return units_of_files(spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).load(paths))

@@ -380,7 +380,7 @@ def test_token_counts_of_a_table(spark, chunk, overlap):
         n = len(library.encode(text or "", add_special_tokens=False))
         long += len(text or "") > chunk
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((text or "").encode()), n > 1024), i
-    assert long > 3
+    assert long >= 3
 
 
 def test_packing_is_whole_and_gapless(spark):

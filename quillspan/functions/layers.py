@@ -29,7 +29,11 @@ CJK_PUNCT = r"[\x{3000}-\x{303F}\x{FF00}-\x{FF0F}\x{FF1A}-\x{FF20}]"
 
 def sanitize_paragraph(c, least=0.15):
     """A paragraph without leader dots and, where few characters are Chinese or Japanese, without those and their punctuation."""
-    plain = F.regexp_replace(c, LEADERS, "")
-    solid, content = T.chars(plain), T.count_of(plain, CJK_CONTENT)
-    few = F.regexp_replace(F.regexp_replace(plain, CJK_CONTENT, ""), CJK_PUNCT, "")
-    return F.when(solid == 0, "").otherwise(T.stripped(F.when(content < least * solid, few).otherwise(plain)))
+
+    def kept(plain):
+        few = F.regexp_replace(F.regexp_replace(plain, CJK_CONTENT, ""), CJK_PUNCT, "")
+        counted = F.transform(F.array(plain), lambda p: F.struct(p.alias("p"), T.chars(p).alias("solid"), T.count_of(p, CJK_CONTENT).alias("content")))
+        return F.transform(counted, lambda x: F.when(x["solid"] == 0, "").otherwise(T.stripped(F.when(x["content"] < least * x["solid"], few).otherwise(x["p"]))))[0]
+
+    # a list of one binds the text, which would else be made again for each use
+    return F.transform(F.array(F.regexp_replace(c, LEADERS, "")), kept)[0]

@@ -160,9 +160,9 @@ CELLS = "(SELECT l_suppkey AS book, l_orderkey AS sheet, l_linenumber AS row, l_
 def f06_collapse_titles(t: Tables) -> DataFrame:
     cells = t.lineitem.select(F.col("l_suppkey").alias("book"), F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("row"), F.concat("l_returnflag", "l_linestatus").alias("val")).distinct()
     tops = cells.groupBy("book", "sheet").agg(F.min_by("val", F.struct("row", "val")).alias("val"))
-    titles = tops.groupBy("book", "val").agg(F.count("*").alias("k")).where("k >= 2").select("book", "val", F.lit(True).alias("title"))
-    nth = F.row_number().over(Window.partitionBy("book", "val").orderBy("sheet", "row"))
-    return cells.join(titles, ["book", "val"], "left").withColumn("n", nth).where("title is null or n = 1").select("book", "sheet", "row", "val")
+    titles = tops.groupBy("book", "val").agg(F.count("*").alias("k")).where("k >= 2").select("book", "val")
+    first = cells.join(titles, ["book", "val"], "left_semi").groupBy("book", "val").agg(F.min(F.struct("sheet", "row")).alias("at")).select("book", "at.sheet", "at.row", "val")
+    return cells.join(titles, ["book", "val"], "left_anti").select("book", "sheet", "row", "val").unionByName(first)
 
 
 RECTS = "(SELECT o_custkey AS file, o_orderkey AS id, CAST(o_orderkey % 40 AS DOUBLE) AS x0, CAST(o_orderkey % 30 AS DOUBLE) AS y0, o_orderkey % 40 + 10.0 + o_orderkey % 7 AS x1, o_orderkey % 30 + 10.0 + o_orderkey % 5 AS y1 FROM orders)"
@@ -225,26 +225,20 @@ def g01_equal_blocks(t: Tables) -> DataFrame:
 def contained_in(blocks: DataFrame, documents: DataFrame) -> DataFrame:
     """Each block's first document that contains it; none for a block without text.
 
-    Words inside a block stand whole wherever it is contained, so they serve as keys of equi-joins: the second to fourth
-    one, or of a block of three or four words the longer one inside. Of two words the first ends a word of the document,
-    and a single one is part of a word; so ends or parts of the documents' words of just the lengths that such blocks
-    have are keys for them.
+    Words inside a block stand whole wherever it is contained, so the longest one of them is the key of an equi-join. Of
+    two words the first ends a word of the document, and a single one is part of a word; so ends or parts of the
+    documents' words of just the lengths that such blocks have are keys for them.
     """
     words = blocks.where("text <> ''").select("item_id", F.col("text").alias("part"), F.split("text", " ", -1).alias("w"))
-    n, w = F.size("w"), F.split("text", " ", -1)
-    longer = F.when((n == 4) & (F.length(F.get("w", F.lit(2))) > F.length(F.get("w", F.lit(1)))), F.get("w", F.lit(2))).otherwise(F.get("w", F.lit(1)))
-    key = F.when(n >= 5, F.array_join(F.slice("w", 2, 3), " ")).when(n >= 3, longer).otherwise(F.get("w", F.lit(0)))
-    kind = F.when(n >= 5, "run").when(n >= 3, "word").when(n == 2, "end").otherwise("part")
-    keyed = words.select("item_id", "part", kind.alias("kind"), key.alias("key"))
-    lengths = {k: sorted(r["n"] for r in keyed.where(F.col("kind") == k).select(F.length("key").alias("n")).distinct().collect()) for k in ("word", "end", "part")}
-    grams = F.zip_with(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 2), F.slice(w, F.lit(2), F.size(w) - 2), lambda a, b: F.concat_ws(" ", a, b)), F.slice(w, F.lit(3), F.size(w) - 2), lambda a, b: F.concat_ws(" ", a, b))
-    each = documents.where(F.size(w) >= 3).select("doc_id", F.lit("run").alias("kind"), F.explode(F.array_distinct(grams)).alias("key"))
-    word = documents.select("doc_id", F.explode(F.array_distinct(w)).alias("key"))
-    if lengths["word"]:
-        each = each.unionByName(word.where(F.length("key").isin(lengths["word"])).select("doc_id", F.lit("word").alias("kind"), "key"))
-    of_length = lambda start: lambda k: F.when(F.length("key") >= k, start(k))
+    n = F.size("w")
+    longest = F.array_max(F.transform(F.slice("w", F.lit(2), n - 2), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    kind = F.when(n >= 3, "word").when(n == 2, "end").otherwise("part")
+    keyed = words.select("item_id", "part", kind.alias("kind"), F.when(n >= 3, longest).otherwise(F.get("w", F.lit(0))).alias("key"))
+    lengths = {k: sorted(r["n"] for r in keyed.where(F.col("kind") == k).select(F.length("key").alias("n")).distinct().collect()) for k in ("end", "part")}
+    word = documents.select("doc_id", F.explode(F.array_distinct(F.split("text", " ", -1))).alias("key"))
+    each = word.select("doc_id", F.lit("word").alias("kind"), "key")
     if lengths["end"]:
-        ends = F.array_distinct(F.array(*[of_length(lambda k: F.right("key", F.lit(k)))(k) for k in lengths["end"]]))
+        ends = F.array_distinct(F.array(*[F.when(F.length("key") >= k, F.right("key", F.lit(k))) for k in lengths["end"]]))
         each = each.unionByName(word.select("doc_id", F.lit("end").alias("kind"), F.explode(ends).alias("key")).where("key is not null"))
     if lengths["part"]:
         parts = lambda k: F.when(F.length("key") >= k, F.transform(F.sequence(F.lit(1), F.length("key") - k + 1), lambda i: F.col("key").substr(i, F.lit(k)))).otherwise(F.array().cast("array<string>"))

@@ -12,11 +12,18 @@ from quillspan.operators.units import count_units, selected_units
 from quillspan.sources.office import clean_layers, read_units
 
 
+#: Characters that a title has at most.
+MOST_TITLE = 80
+
+
 def file_totals(units: DataFrame, sheet: str = "all", with_notes: bool = False) -> DataFrame:
-    """Metrics, errors and pages without text of each file."""
+    """Metrics, title, errors and pages without text of each file. The title is the stated one, else the first line of text that is no longer than a title; of archives there is none."""
     chosen = count_units(selected_units(units, sheet, with_notes), ["path"], "text")
-    state = units.groupBy("path").agg(F.min("error").alias("error"), F.count_if(F.col("kind") == "image").alias("image_pages"))
-    return state.join(chosen, "path", "left").na.fill(0, T.TOTALS).select("path", *T.TOTALS, "image_pages", "error")
+    own = (F.col("member") == "") & (F.length("text") > 0)
+    stated = F.min(F.when(own & (F.col("kind") == "title"), F.col("text")))
+    first = F.min_by(F.col("text"), F.when(own & F.col("kind").isin("p", "cell") & (F.length("text") <= MOST_TITLE), F.col("seq")))
+    state = units.groupBy("path").agg(F.coalesce(stated, first).alias("title"), F.min("error").alias("error"), F.count_if(F.col("kind") == "image").alias("image_pages"))
+    return state.join(chosen, "path", "left").na.fill(0, T.TOTALS).select("path", "title", *T.TOTALS, "image_pages", "error")
 
 
 def main() -> None:

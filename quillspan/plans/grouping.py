@@ -265,9 +265,14 @@ def _unmatched(t: Tables) -> tuple[DataFrame, DataFrame]:
 OVERLAPS = "list_max(list_filter(range(6, 31), lambda k: length(o.text) >= k AND length(r.text) >= k AND (o.text[-k:] = r.text[1:k] OR r.text[-k:] = o.text[1:k])))"
 
 
-@query(f"SELECT o.pair, CAST(o.pos AS INTEGER) AS oi, CAST(r.pos AS INTEGER) AS rj FROM {LEFT_SQL} o JOIN {LEFT_SQL} r ON o.pair = r.pair AND o.side = 0 AND r.side = 1 AND abs(o.pos - r.pos) <= 2 AND {OVERLAPS} >= 6")
+#: Unmatched blocks, and as further blocks of the revision those that begin with the end of every fifth block of the original.
+NEAR_SQL = f"(SELECT pair, side, pos, text FROM {LEFT_SQL} UNION ALL SELECT pair, 1, pos + 1, right(text, 12) || ' qq' FROM {LEFT_SQL} WHERE side = 0 AND pos % 5 = 0 AND length(text) >= 12)"
+
+
+@query(f"SELECT o.pair, CAST(o.pos AS INTEGER) AS oi, CAST(r.pos AS INTEGER) AS rj FROM {NEAR_SQL} o JOIN {NEAR_SQL} r ON o.pair = r.pair AND o.side = 0 AND r.side = 1 AND abs(o.pos - r.pos) <= 2 AND {OVERLAPS} >= 6")
 def g04_near_overlaps(t: Tables) -> DataFrame:
     left, right = _unmatched(t)
+    right = right.unionByName(left.where("pos % 5 = 0 and length(text) >= 12").select("pair", (F.col("pos") + 1).alias("pos"), F.concat(F.right("text", F.lit(12)), F.lit(" qq")).alias("text")))
     around = F.explode(F.sequence(F.col("pos") - 2, F.col("pos") + 2)).alias("rj")
     near = left.select("pair", F.col("pos").alias("oi"), F.col("text").alias("a"), around).join(right.select("pair", F.col("pos").alias("rj"), F.col("text").alias("b")), ["pair", "rj"])
     meets = F.exists(F.sequence(F.lit(6), F.lit(30)), lambda k: (F.length("a") >= k) & (F.length("b") >= k) & ((F.right("a", k) == F.left("b", k)) | (F.right("b", k) == F.left("a", k))))

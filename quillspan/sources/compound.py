@@ -257,7 +257,7 @@ def object_units(data: bytes) -> Iterator[dict]:
         kind = next((k for k, n in (("xlsx", "xl/workbook.xml"), ("docx", "word/document.xml"), ("pptx", "ppt/presentation.xml")) if n in names), None)
         shown = active_sheet(packed) if kind == "xlsx" else None
         for unit in EXTRACTORS[kind](packed) if kind else ():
-            if shown is None or unit["sheet"] == shown:
+            if unit["kind"] != "title" and (shown is None or unit["sheet"] == shown):
                 yield unit
         return
     names = {n.rpartition("/")[2]: n for n in parts}

@@ -9,7 +9,7 @@ import lzma
 import re
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -152,8 +152,22 @@ def pptx_units(data: bytes) -> Iterator[dict]:
                         yield {"kind": "note" if hidden else "p", "sheet": str(number), "hidden": hidden, "text": text}
 
 
+def titled(extract: Callable[[bytes], Iterator[dict]]) -> Callable[[bytes], Iterator[dict]]:
+    """Units of an Office package, then the title that its properties state, which counts as hidden."""
+
+    def each(data: bytes) -> Iterator[dict]:
+        yield from extract(data)
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            if "docProps/core.xml" in z.namelist():
+                stated = _own_text(ElementTree.fromstring(z.read("docProps/core.xml")), "title").strip()
+                if stated:
+                    yield {"kind": "title", "hidden": True, "text": stated}
+
+    return each
+
+
 #: What reads a file, by its extension. More can be put in.
-EXTRACTORS = {"txt": text_units, "md": text_units, "csv": text_units, "docx": docx_units, "xlsx": xlsx_units, "xlsm": xlsx_units, "pptx": pptx_units, "doc": doc_units, "xls": xls_units, "ppt": ppt_units, "dxf": dxf_units, "pdf": pdf_units, "dwg": carved_units}
+EXTRACTORS = {"txt": text_units, "md": text_units, "csv": text_units, "docx": titled(docx_units), "xlsx": titled(xlsx_units), "xlsm": titled(xlsx_units), "pptx": titled(pptx_units), "doc": doc_units, "xls": xls_units, "ppt": ppt_units, "dxf": dxf_units, "pdf": pdf_units, "dwg": carved_units}
 
 
 def _repaired(info: zipfile.ZipInfo) -> str:

@@ -297,9 +297,8 @@ def _page_numbers(pdf: Pdf) -> list[int]:
     return order + [n for n in leaves if n not in seen]
 
 
-def pdf_pages(data: bytes) -> list[str]:
+def pages_of(pdf: Pdf) -> list[str]:
     """The text of each page; empty where a page shows none, such as one that is an image alone."""
-    pdf = parsed(data)
     out = []
     for number in _page_numbers(pdf):
         page = pdf.heads[number]
@@ -307,6 +306,10 @@ def pdf_pages(data: bytes) -> list[str]:
     return out
 
 
+def pdf_pages(data: bytes) -> list[str]:
+    return pages_of(parsed(data))
+
+
 def count_pages(data: bytes) -> int:
     """Pages that are met, else the largest count that the file states, else one."""
     pdf = parsed(data)
@@ -328,9 +331,8 @@ def _entries(head: bytes, keys: tuple[bytes, ...]) -> Iterator[str]:
         before = word if kind == "n" else b""
 
 
-def form_values(data: bytes) -> list[str]:
+def values_of(pdf: Pdf) -> list[str]:
     """Values of form fields that hold text, each once whatever its case."""
-    pdf = parsed(data)
     out: dict[str, str] = {}
     for head in pdf.heads.values():
         if re.search(rb"/FT\b|/Kids\b|/Parent\b|/Subtype\s*/Widget", head):
@@ -340,22 +342,33 @@ def form_values(data: bytes) -> list[str]:
     return list(out.values())
 
 
-def title(data: bytes) -> str | None:
+def form_values(data: bytes) -> list[str]:
+    return values_of(parsed(data))
+
+
+def title_of(pdf: Pdf) -> str | None:
     """The title that the file states."""
-    found = (t.strip() for h in parsed(data).heads.values() for t in _entries(h, (b"Title",)))
+    found = (t.strip() for h in pdf.heads.values() for t in _entries(h, (b"Title",)))
     return next((t for t in found if t), None)
 
 
+def title(data: bytes) -> str | None:
+    return title_of(parsed(data))
+
+
 def pdf_units(data: bytes) -> Iterator[dict]:
-    """Lines of the pages, with the page's number, then form values. A page without text gives a unit of kind image without text."""
+    """Lines of the pages, with the page's number, then form values, and the title, which counts as hidden. A page without text gives a unit of kind image without text."""
     if not data.lstrip()[:5].startswith(b"%PDF-"):
         raise ValueError("not a PDF")
     if re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", data):
         raise ValueError("encrypted")
-    for number, text in enumerate(pdf_pages(data), 1):
+    pdf = parsed(data)
+    for number, text in enumerate(pages_of(pdf), 1):
         if not text:
             yield {"kind": "image", "sheet": str(number), "text": ""}
         for line in text.split("\n") if text else ():
             yield {"kind": "p", "sheet": str(number), "text": line}
-    for value in form_values(data):
+    for value in values_of(pdf):
         yield {"kind": "field", "text": value}
+    if stated := title_of(pdf):
+        yield {"kind": "title", "hidden": True, "text": stated}

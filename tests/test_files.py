@@ -414,3 +414,13 @@ def test_packed_archives(monkeypatch):
         assert [(u["member"], u["ok"]) for u in rows] == [("a.txt", True), ("b.txt", False)] and rows[0]["text"] == "stored" and "compressed" in rows[1]["error"]
     monkeypatch.setattr(office, "MOST_BYTES", 100)
     assert {u["error"] for u in file_units("x.7z", seven(files, *ways[1])) if not u["member"].startswith("..")} == {"ValueError: larger than 100 bytes"}
+
+
+def test_titles_of_files(spark, tmp_path):
+    core = "<c xmlns:dc='d'><dc:title> Stated </dc:title></c>"
+    (tmp_path / "a.docx").write_bytes(zipped({"word/document.xml": WORD.format("<w:p><w:r><w:t>body text</w:t></w:r></w:p>"), "docProps/core.xml": core}))
+    (tmp_path / "b.txt").write_text("x" * 90 + "\nfirst short line\nmore")
+    (tmp_path / "c.pdf").write_bytes(built_file("pdf", ["page line"]).replace(b"/Type/Catalog", b"/Title(From PDF)/Type/Catalog"))
+    (tmp_path / "d.zip").write_bytes(zipped({"a.txt": "inside"}))
+    rows = file_totals(read_units(spark, str(tmp_path))).orderBy("path").collect()
+    assert [r.title for r in rows] == ["Stated", "first short line", "From PDF", None] and [r.words for r in rows] == [2, 5, 2, 1]

@@ -381,15 +381,38 @@ def o04_drawing_dedup(t: Tables) -> DataFrame:
     return _texts(t).groupBy("file", "text").agg(F.min("entity").alias("entity"))
 
 
-@query(f"SELECT file, pos, CASE WHEN code = '8' THEN '' ELSE value END AS value FROM {NUMBERED}")
+def repaired(pairs: DataFrame, by: str = "file") -> DataFrame:
+    """Pairs of codes and values without the section of objects, and with the values of binary groups blank."""
+    section = F.last(F.when(F.col("code") == "2", F.when(F.col("before") == "SECTION", F.col("value"))), ignorenulls=True)
+    order = Window.partitionBy(by).orderBy("pos")
+    inside = section.over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    named = pairs.withColumn("before", F.lag("value").over(order)).withColumn("section", inside).where("coalesce(section, '') <> 'OBJECTS'")
+    return named.select(by, "pos", "code", F.when(F.col("code").rlike("^31[0-9]$"), "").otherwise(F.col("value")).alias("value"))
+
+
+#: Pairs in which every seventh record opens a section, every other one of them that of objects, and code 3 is binary.
+BINARY = f"(SELECT file, pos, CASE WHEN sectioned AND code = '1' THEN '2' WHEN code = '3' THEN '31' || (pos % 10) ELSE code END AS code, CASE WHEN sectioned AND code = '0' THEN 'SECTION' WHEN sectioned AND code = '1' THEN CASE WHEN pos // 10 % 2 = 0 THEN 'OBJECTS' ELSE 'ENTITIES' END ELSE value END AS value FROM (SELECT *, pos // 10 % 7 = 0 AS sectioned FROM {NUMBERED}))"
+
+
+@query(f"SELECT file, pos, code, CASE WHEN regexp_matches(code, '^31[0-9]$') THEN '' ELSE value END AS value FROM (SELECT *, last_value(CASE WHEN code = '2' AND before = 'SECTION' THEN value END IGNORE NULLS) OVER (PARTITION BY file ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM (SELECT *, lag(value) OVER (PARTITION BY file ORDER BY pos) AS before FROM {BINARY})) WHERE coalesce(section, '') <> 'OBJECTS'")
 def a25_blank_binary(t: Tables) -> DataFrame:
-    return _entities(t).select("file", "pos", F.when(F.col("code") == "8", "").otherwise(F.col("value")).alias("value"))
+    order, sectioned = F.expr("pos div 10"), F.expr("pos div 10 % 7 = 0")
+    code = F.when(sectioned & (F.col("code") == "1"), "2").when(F.col("code") == "3", F.concat(F.lit("31"), F.col("pos") % 10)).otherwise(F.col("code"))
+    value = F.when(sectioned & (F.col("code") == "0"), "SECTION").when(sectioned & (F.col("code") == "1"), F.when(order % 2 == 0, "OBJECTS").otherwise("ENTITIES")).otherwise(F.col("value"))
+    return repaired(_entities(t).select("file", "pos", value.alias("value"), code.alias("code")))
+
+
+#: Tags without contents. Fixed values.
+VOID = "area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr"
+STEP = f"CASE WHEN starts_with(tag, '</') THEN -1 WHEN regexp_matches(tag, '^<(?:{VOID})\\b|/>$') THEN 0 ELSE 1 END"
 
 
-@query("SELECT event_id, CAST(sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS depth FROM events")
+@query(f"SELECT page_id, CAST(pos AS INTEGER) AS pos, tag, CAST(sum({STEP}) OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS depth FROM (SELECT page_id, unnest(range(len(tags))) AS pos, unnest(tags) AS tag FROM (SELECT page_id, regexp_extract_all(html, '</?\\w[^>]*>') AS tags FROM pages))")
 def h08_tag_depth(t: Tables) -> DataFrame:
-    step = F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1)
-    return t.events.select("event_id", F.sum(step).over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("depth"))
+    """How many tags are open after each tag of a page."""
+    tags = t.pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"</?\w[^>]*>"), F.lit(0))).alias("pos", "tag"))
+    step = F.when(F.startswith("tag", F.lit("</")), -1).when(F.col("tag").rlike(rf"^<(?:{VOID})\b|/>$"), 0).otherwise(1)
+    return tags.withColumn("depth", F.sum(step).over(Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
 @query("SELECT page_id, row_number() OVER (ORDER BY CAST(coalesce(nullif(regexp_extract(url, '\\d+'), ''), '0') AS BIGINT) % 1000000, page_id) AS place FROM pages")

@@ -443,11 +443,6 @@ def j02_polyline_boxes(t: Tables) -> DataFrame:
     return boxes.where("n >= 4").drop("n")
 
 
-@query("SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, '<(\\w+)', 1))) AS INTEGER) AS layouts FROM pages")
-def j05_layout_count(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.size(F.array_distinct(F.regexp_extract_all("html", F.lit(r"<(\w+)"), F.lit(1)))).alias("layouts"))
-
-
 LADDER = "CASE WHEN a >= 2 THEN 'layouts' WHEN b > 0 THEN 'title blocks' WHEN c > 0 THEN 'frames' ELSE 'one' END"
 
 
@@ -523,12 +518,6 @@ def o26_revised_total(t: Tables) -> DataFrame:
     return whole.select("conv_id", *T.metrics(F.col("s")))
 
 
-@query("SELECT doc_id, CAST(regexp_extract('<Pages>' || (doc_id % 50) || '</Pages>', '<Pages>(\\d+)', 1) AS INTEGER) AS pages FROM documents")
-def o30_app_properties(t: Tables) -> DataFrame:
-    xml = F.concat(F.lit("<Pages>"), F.col("doc_id") % 50, F.lit("</Pages>"))
-    return t.documents.select("doc_id", F.regexp_extract(xml, r"<Pages>(\d+)", 1).cast("int").alias("pages"))
-
-
 CLASSES = {"far_east": T.FAR, "drawing": T.DRAWING_CJK, "ocr": T.OCR_CJK, "ideograph": T.IDEOGRAPH}
 
 

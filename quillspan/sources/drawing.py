@@ -75,6 +75,21 @@ def texts(data: bytes) -> Iterator[tuple[str, str, bytes]]:
         yield kind, layer, b"".join(parts)
 
 
+def layout_names(data: bytes) -> list[str]:
+    """Names of a drawing's paper layouts, each once whatever its case."""
+    out, kind, part = {}, "", b""
+    for code, value in pairs(data):
+        if code == "0":
+            kind, part = value.strip().decode("latin-1").upper(), b""
+        elif code == "100":
+            part = value.strip()
+        elif code == "1" and kind == "LAYOUT" and part == b"AcDbLayout":
+            name = value.strip().decode("utf-8", "replace")
+            if name.lower() != "model":
+                out.setdefault(name.lower(), name)
+    return list(out.values())
+
+
 def drawing_coding(data: bytes) -> str:
     """The coding of a drawing's texts: UTF-8 if its version says so or all bytes are, else that of its code page, else by vote. If its texts then hold no Chinese character, but many frequent ones as GB18030, it is that."""
     version = re.search(rb"\$ACADVER\s+1\s+AC(\d+)", data[:STEP])

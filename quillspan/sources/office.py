@@ -74,6 +74,14 @@ def _paragraph(node) -> str:
     return "".join(out)
 
 
+def _without_older_copies(node) -> Iterator:
+    """A node and what is in it, but for the copies that are stored for older readers."""
+    yield node
+    for x in node:
+        if _name(x.tag) != "Fallback":
+            yield from _without_older_copies(x)
+
+
 def docx_units(data: bytes) -> Iterator[dict]:
     """Paragraphs and table cells of the body, then of foot- and endnotes."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -86,7 +94,7 @@ def docx_units(data: bytes) -> Iterator[dict]:
                 for r, row in enumerate(x for x in table if _name(x.tag) == "tr"):
                     for c, cell in enumerate(x for x in row if _name(x.tag) == "tc"):
                         cells |= {id(p): (r, c) for p in cell.iter() if _name(p.tag) == "p"}
-            for p in (x for x in root.iter() if _name(x.tag) == "p"):
+            for p in (x for x in _without_older_copies(root) if _name(x.tag) == "p"):
                 text = _paragraph(p).strip()
                 if text:
                     row, col = cells.get(id(p), (None, None))
@@ -152,6 +160,14 @@ def pptx_units(data: bytes) -> Iterator[dict]:
                         yield {"kind": "note" if hidden else "p", "sheet": str(number), "hidden": hidden, "text": text}
 
 
+def app_numbers(data: bytes) -> dict[str, int]:
+    """Whole numbers that an Office package states of itself, such as its pages."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        if "docProps/app.xml" not in z.namelist():
+            return {}
+        return {_name(x.tag): int(x.text) for x in ElementTree.fromstring(z.read("docProps/app.xml")).iter() if re.fullmatch(r"\d{1,18}", (x.text or "").strip())}
+
+
 def titled(extract: Callable[[bytes], Iterator[dict]]) -> Callable[[bytes], Iterator[dict]]:
     """Units of an Office package, then the title that its properties state, which counts as hidden."""
 

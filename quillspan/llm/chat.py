@@ -61,7 +61,8 @@ def format_chats(conversations: DataFrame, *, id_col: str = "conv_id", turn_col:
     rows count as often as they occur. Conversations are equal, or one begins the other, if their turns' roles and texts
     in that order do, whatever the numbers. A null role or text is not the same as an empty one and is rendered as
     unknown and as nothing. Rows without conv_id belong to no conversation and are left out; those without turn form a
-    segment of their own, null. An empty table gives an empty table. Other columns are not read.
+    segment of their own, null. A task holds one segment, so that turns of one number, or without any, must fit there. An
+    empty table gives an empty table. Other columns are not read.
     """
     turns = conversations.select(F.col(id_col).cast("bigint").alias("conv_id"), F.col(turn_col).cast("bigint").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")).where("conv_id is not null")
     kept = cut(maximal_conversations(turns), "maximal")

@@ -115,7 +115,8 @@ def mix_sources(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     A null text has size 0 and is taken for 0 words. A null id draws like -1. Rows with one id draw the same number; rows
     that are equal in id and size share the last place, all or none. An empty table gives an empty table. Other columns
     are not read. What is shuffled: sums for each source and power of two of lengths, sums over the square root of a
-    source's rows of rank bins, and one such bin for each source.
+    source's rows of rank bins, and one such bin for each source. The targets rest on running sums over all sources, which
+    one task makes from a row of some 100 bytes for each; ten million sources are a gigabyte there.
     """
     stored = cut(documents.select(F.col(id_col).alias("doc_id"), *sized_rows(documents, id_col, text_col, source_col)), "sized")
     out = mix_columns(stored, mix_plan(stored, weights=weights, most=most, seed=seed), seed=seed, most=most)

@@ -39,8 +39,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Few rows for each Arrow batch, as a row may hold a very long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Few rows for each Arrow batch, as a row may hold a very long text. The session keeps the setting, as plans read it when they run; a smaller one stays."""
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < now <= ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
 def clear(spark: SparkSession) -> None:

@@ -11,6 +11,7 @@ from quillspan.operators import units as U
 from quillspan.plans.counting import EXT_SQL, line_key, sheet_code, some_ext
 from quillspan.plans.counting import KEY as KEY_CLASS
 from quillspan.plans.registry import Tables, query
+from quillspan.streaming.journal import followed, latest_results
 
 LINES = U.LINES_SQL
 DOC_METRICS = f"(SELECT doc_id, source, lang, {T.metrics_sql('text')} FROM documents)"
@@ -485,6 +486,24 @@ def m02_liveness(t: Tables) -> DataFrame:
     return grouped.drop("session_window")
 
 
+def _journal(t: Tables) -> DataFrame:
+    """Events as lines of a journal, a third of them added late; every hundredth is half-written."""
+    line = F.to_json(F.struct(F.lit("progress").alias("type"), F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("rawResultJson"), (F.col("event_id") % 1000).cast("int").alias("done"), F.col("event_id").alias("t")))
+    return t.events.select((F.col("event_id") % 3 == 0).cast("int").alias("late"), F.when(F.col("event_id") % 100 == 99, F.substring(line, 1, 15)).otherwise(line).alias("value"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS id, arg_max(event_type, event_id) AS result, CAST(max(event_id % 1000) AS INTEGER) AS done FROM events WHERE event_id % 100 <> 99 GROUP BY 1")
+def m01_journal_tail(t: Tables) -> DataFrame:
+    """The last result of each id and the furthest progress, of a journal that a stream follows over two runs."""
+    return latest_results(followed(_journal(t))).select("id", F.col("rawResultJson").alias("result"), "done")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS id, count(*) AS n FROM events WHERE event_id % 100 <> 99 GROUP BY 1")
+def l08_appended_rows(t: Tables) -> DataFrame:
+    """Rows of each id in the journal that the stream has written; none twice, none lost but the half-written ones."""
+    return followed(_journal(t)).groupBy("id").agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT conv_id, turn, s <> '' AS ok, CASE WHEN s = '' THEN 'blank' END AS error, {T.metrics_sql('s')} FROM (SELECT conv_id, turn, {T.stripped_sql("CASE WHEN turn = 2 THEN ' ' ELSE text END")} AS s FROM conversations)")
 def o01_counted_with_errors(t: Tables) -> DataFrame:
     s = T.stripped(F.when(F.col("turn") == 2, " ").otherwise(F.col("text")))

@@ -296,8 +296,10 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     placed = families.join(_small(sizes, 80), "grp").select("doc", "grp", "blocks", pivot.alias("pivot"))
     sets = with_sets(cut(placed, "placed"))
     dealt = F.when(F.col("pivot"), F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("blocks"))))
-    # small families are dealt together, as many rows as a block has at a time, as each group costs milliseconds of its own
-    task = F.when(F.col("blocks") > 1, F.xxhash64("grp", "block")).otherwise(F.pmod(F.xxhash64("grp"), F.lit(max(1, families.count() // BLOCK_ROWS))))
+    # small families are dealt together, about as much at a time as a block has, as each group costs milliseconds of its own
+    all_rows, all_shingles = families.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bundles = max(1, all_rows // BLOCK_ROWS, all_shingles // BLOCK_SHINGLES)
+    task = F.when(F.col("blocks") > 1, F.xxhash64("grp", "block")).otherwise(F.pmod(F.xxhash64("grp"), F.lit(bundles)))
     inside = sets.withColumn("block", F.explode(dealt)).withColumn("task", task).drop("pivot", "blocks").groupBy("task").applyInPandas(within, "a bigint, b bigint")
     roots = cut(connected_components(inside), "inside")
     split = sizes.where("blocks > 1").select("grp")

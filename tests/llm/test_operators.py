@@ -192,6 +192,7 @@ def test_large_families_in_blocks(spark, monkeypatch, most):
     monkeypatch.setattr(minhash, "SHORT_LIST", 4)
     monkeypatch.setattr(minhash, "BLOCK_ROWS", 8)
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 600)
+    monkeypatch.setattr(minhash, "SMALL", 0 if most == 16 else 8 << 20)
     rng = random.Random(2 + most)
     bases = [[f"w{i}" for i in range(60)], [f"v{i}" for i in range(80)], [f"w{i}" for i in range(50)] + [f"u{i}" for i in range(10)]]
     docs = spark.createDataFrame([(i, mutated(rng, bases[i % 3], most, 6)) for i in range(90)], "doc_id bigint, text string")

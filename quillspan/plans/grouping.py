@@ -277,7 +277,9 @@ def g04_near_overlaps(t: Tables) -> DataFrame:
     around = F.explode(F.sequence(F.col("pos") - 2, F.col("pos") + 2)).alias("rj")
     near = left.select("pair", F.col("pos").alias("oi"), F.col("text").alias("a"), around).join(right.select("pair", F.col("pos").alias("rj"), F.col("text").alias("b")), ["pair", "rj"])
     meets = F.exists(F.sequence(F.lit(6), F.lit(30)), lambda k: (F.length("a") >= k) & (F.length("b") >= k) & ((F.right("a", k) == F.left("b", k)) | (F.right("b", k) == F.left("a", k))))
-    return near.where(meets).select("pair", "oi", "rj")
+    # what overlaps by six characters or more begins within the last thirty of the other
+    begins = F.contains(F.right("a", F.lit(30)), F.left("b", F.lit(6))) | F.contains(F.right("b", F.lit(30)), F.left("a", F.lit(6)))
+    return near.where(begins).where(meets).select("pair", "oi", "rj")
 
 
 @query(f"SELECT pair, CASE side WHEN 0 THEN 'DEL' ELSE 'INS' END AS tag, CAST(pos AS INTEGER) AS pos, text FROM {LEFT_SQL}")

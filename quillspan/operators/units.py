@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
 
 
+#: Bytes after which an Arrow batch ends, so that what a function makes of a batch stays small too.
+BATCH_BYTES = 1 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Few bytes for each Arrow batch. The session keeps the setting, as plans read it when they run; a smaller one stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, pos and line of each line that isn't blank, stripped. Null texts have none."""
     each = df.select(F.col(id_col), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
 from quillspan.operators import sequences as S
+from quillspan.operators.units import small_batches
 from quillspan.plans.files import LINES_SQL, _counted, zipped
 from quillspan.plans.grouping import LINES
 from quillspan.plans.registry import Tables, query
@@ -120,6 +121,7 @@ def _per_document(t: Tables, made, kinds: dict[str, pa.DataType], schema: str) -
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
+    small_batches(t.spark)
     return t.documents.select("doc_id", "text").mapInArrow(each, schema)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
 from quillspan.operators import diff as D
-from quillspan.operators.units import count_units, lines
+from quillspan.operators.units import count_units, lines, small_batches
 from quillspan.plans.counting import KEY, LINES, line_key
 from quillspan.plans.grouping import _pairs
 from quillspan.plans.registry import Tables, query
@@ -117,6 +117,7 @@ def _files(t: Tables, ext: str) -> DataFrame:
             made = [built_file(ext, [s.strip() for s in (x or "").split("\n") if s.strip()]) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([f"{i}.{ext}" for i in b.column(0).to_pylist()]), pa.array(made, pa.binary())], ["path", "content"])
 
+    small_batches(t.spark)
     return t.documents.select("doc_id", "text").mapInArrow(each, "path string, content binary")
 
 

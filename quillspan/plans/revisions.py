@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.operators import diff as D
+from quillspan.operators.units import small_batches
 from quillspan.plans.grouping import PAIRED, _pairs
 from quillspan.plans.registry import Tables, query
 
@@ -60,6 +61,7 @@ def per_row(beside: DataFrame, rows: Callable[[str, str], list[tuple]], schema:
             columns = list(zip(*found, strict=True)) if found else [()] * len(fields)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
+    small_batches(beside.sparkSession)
     return beside.select("pair", "pos", "text", "other").mapInArrow(each, schema)
 
 

@@ -228,8 +228,11 @@ def near_line_dedup(lines: DataFrame, by: str) -> DataFrame:
         kept, lengths, joined = set(), set(), ""
         take = []
         for key in rows.sort_values("pos")["key"]:
-            # parts of the key by the lengths that occur, so that no two lines are compared
-            new = bool(key) and key not in joined and not any(key[i : i + n] in kept for n in lengths if n < len(key) for i in range(len(key) - n + 1))
+            new = bool(key) and key not in joined
+            if new:
+                # either each kept key is looked for, or, where they are many, parts of the key by the lengths that occur
+                parts = sum(len(key) - n + 1 for n in lengths if n < len(key))
+                new = not (any(x in key for x in kept) if len(kept) <= parts else any(key[i : i + n] in kept for n in lengths if n < len(key) for i in range(len(key) - n + 1)))
             take.append(new)
             if new:
                 kept.add(key)
